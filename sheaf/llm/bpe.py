@@ -23,7 +23,7 @@ from sheaf.llm.common import map_batches
 #: Pieces of at most this many bytes are merged directly; longer ones are halved.
 LEAF_BYTES = 24
 #: Encodings of pieces and seams kept by one Python worker; the memory bound of the operator.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -111,10 +111,10 @@ class ByteBPE:
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
-    def _encode_piece(self, piece: str) -> list[int]:
+    def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.encode_bytes(data)
+        return (whole,) if whole is not None else tuple(self.encode_bytes(data))
 
     # -- texts ----------------------------------------------------------------------------------------
 

@@ -33,6 +33,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a Python worker turns into Python objects at once.
+ROWS_AT_ONCE = 256
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """For use on the driver; the schema then goes to the executors with the function."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,7 +50,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
     target = arrow_schema(schema)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in source for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             columns = function(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 

@@ -19,7 +19,7 @@ FIT_WORDS = 120_000
 GRAMS = (4, 3, 2, 1)
 SMOOTH = 0.5
 #: Distinct words scored and kept by a Python worker before it starts afresh.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _letters = regex.compile(r"\p{L}+").findall
 

@@ -30,7 +30,7 @@ _CUES = frozenset("password passwd secret token key apikey api_key pwd auth bear
 #: Bounds of the fit: documents with a base span, documents without, tokens on either side of a span.
 FIT_WITH, FIT_WITHOUT, AROUND = 400, 200, 24
 #: Distinct tokens whose classes a Python worker keeps before it starts afresh.
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 150_000
 _B, _I, _O = 0, 1, 2
 _NEVER = -1e4
 

@@ -24,7 +24,7 @@ CHAR_PLACES = 1 << 13
 #: Bounds of the fit: toxic and other documents (drawn by a hash of the id), and words with a vector of their own.
 FIT_TOXIC, FIT_OTHER, FIT_WORDS = 1200, 2400, 20_000
 #: Distinct words whose projections a Python worker keeps, and windows scored at once: the bounds of its memory.
-CACHED_WORDS, BATCH_WINDOWS = 200_000, 1024
+CACHED_WORDS, BATCH_WINDOWS = 100_000, 1024
 #: In training: windows at random of a text with label 0, share of word vectors dropped, decay of the weights.
 OTHERS, DROPPED, DECAY = 2, 0.3, 1e-4
 
