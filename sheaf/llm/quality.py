@@ -26,6 +26,8 @@ MIN_GROUP = 50
 CUTOFF = 2 * 65.0
 #: Least standard deviation of each statistic: of what most rows lack, the spread is zero, and any trace were an outlier.
 FLOOR = (0.4, 0.35, 0.35, 0.35, 0.6)
+#: Groups up to which their estimates (20 numbers each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 #: Rejected ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 _NAMES = ["x0", "x1", "x2", "x3", "x4"]
@@ -88,11 +90,17 @@ def _cholesky(moments: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """rows with the squared distance d2 under the estimate of their g; null without one."""
     d2 = _squared([F.col(x) for x in _NAMES], [F.col(f"m{i}") for i in range(5)], {(i, j): F.col(f"l{i}{j}") for i, j in _PAIRS})
     return rows.join(estimate, "g", "left").select(*(F.col(c) for c in rows.columns), d2.alias("d2"))
 
 
-def _nearest(scored: DataFrame) -> DataFrame:
+def _per_group(few: bool, groups: DataFrame) -> DataFrame:
+    """A table of a row for each group, to be joined to their rows: by a broadcast if they are few, so that no group is one task."""
+    return F.broadcast(groups) if few else groups
+
+
+def _nearest(scored: DataFrame, few: bool) -> DataFrame:
     """Each group's HALF of rows of least distance, up to a 64th of a doubling: counts by bins, then a running count over the bins."""
     bin_of = F.floor(64 * F.log2(F.col("d2") + 1)).alias("bin")
     counts = scored.groupBy("g", bin_of).agg(F.count("*").alias("n"))
@@ -100,7 +108,7 @@ def _nearest(scored: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(Window.partitionBy("g"))
     limits = counts.select("g", "bin", before.alias("before"), total.alias("total")).where(F.col("before") < HALF * F.col("total")).groupBy("g").agg(F.max("bin").alias("limit"))
-    return scored.withColumn("bin", bin_of).join(limits, "g").where(F.col("bin") <= F.col("limit"))
+    return scored.withColumn("bin", bin_of).join(_per_group(few, limits), "g").where(F.col("bin") <= F.col("limit"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -109,15 +117,17 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(*means, *products)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Location and factored scatter of each g of (g, x0..x4), for groups of at least MIN_GROUP rows."""
-    medians = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))).where(F.col("n") >= MIN_GROUP)
-    away = rows.join(medians, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Location and factored scatter of each g of (g, x0..x4), for groups of at least MIN_GROUP rows; and whether these are few."""
+    medians = checkpoint(rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))).where(F.col("n") >= MIN_GROUP))
+    few = medians.count() <= BROADCAST_GROUPS
+    away = rows.join(_per_group(few, medians), "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
     start = away.select("g", *(f"m{i}" for i in range(5)), *((F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
     now = checkpoint(_cholesky(start))
     for _ in range(STEPS):
-        now = checkpoint(_cholesky(_moments(_nearest(_with_distance(rows, now).where("d2 is not null")))))
-    return now
+        scored = _with_distance(rows, _per_group(few, now)).where("d2 is not null")
+        now = checkpoint(_cholesky(_moments(_nearest(scored, few))))
+    return now, few
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -130,8 +140,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     group = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
     counted = statistics(docs)
     rows = checkpoint(counted.select("*", base_failed().alias("base_failed"), group.alias("g"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True))))
-    estimate = estimates(rows.where(~F.col("base_failed")).select("g", *_NAMES))
-    scored = _with_distance(rows, estimate)
+    estimate, few = estimates(rows.where(~F.col("base_failed")).select("g", *_NAMES))
+    scored = _with_distance(rows, _per_group(few, estimate))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False))).alias("kept"), "d2")
 
 
