@@ -22,8 +22,8 @@ HALF = 0.75
 STEPS = 3
 #: Groups with fewer rows than this have no estimate; their rows pass.
 MIN_GROUP = 50
-#: Squared distance above which a row is rejected: the chi-square quantile for five statistics at one in 10**12, doubled.
-CUTOFF = 2 * 65.0
+#: Squared distance above which a row is rejected; the chi-square quantile for five statistics at one in 10**12 is 65.
+CUTOFF = 75.0
 #: Least standard deviation of each statistic: of what most rows lack, the spread is zero, and any trace were an outlier.
 FLOOR = (0.4, 0.35, 0.35, 0.35, 0.6)
 #: Groups up to which their estimates (20 numbers each) are broadcast; beyond, they are joined by a shuffle.
