@@ -23,13 +23,15 @@ def apply(m, x, y):
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
-def lexemes(data: bytes):
-    """(operator, operands) in order; an inline image as (`BI`, [entries, bytes]). Ends at what can't be read."""
+def lexemes(data: bytes, strict: bool = False):
+    """(operator, operands) in order; an inline image as (`BI`, [entries, bytes]). Ends at what can't be read, or if strict raises."""
     reader, operands = Reader(data, content=True), []
     while not reader.done():
         try:
             value = reader.value()
         except Fault:
+            if strict:
+                raise
             return
         if not isinstance(value, Token):
             operands.append(value)
@@ -38,6 +40,8 @@ def lexemes(data: bytes):
             try:
                 yield "BI", _inline_image(reader)
             except Fault:
+                if strict:
+                    raise
                 return
         else:
             yield value.word.decode("latin-1"), operands
@@ -189,10 +193,10 @@ class Interpreter:
                 stack.append(replace(s))
             elif op == "Q":
                 s = stack.pop() if stack else s
-            elif op in _PATH:
-                path = self.paint(op, path, s) if op in _PAINT else _PATH[op](path, n, s.ctm)
-            elif op in _TEXT:
-                _TEXT[op](s, n, operands)
+            elif op in PATH_STEPS:
+                path = self.paint(op, path, s) if op in PAINT_OPERATORS else PATH_STEPS[op](path, n, s.ctm)
+            elif op in TEXT_STATE:
+                TEXT_STATE[op](s, n, operands)
             elif op == "Tf":
                 if len(operands) >= 2 and isinstance(operands[-2], Name):
                     s.font_size, s.font = n[-1], self.font(resources, operands[-2])
@@ -264,8 +268,8 @@ def _last(path):
     return next((step[-1] for step in reversed(path) if len(step) > 1), (0.0, 0.0))
 
 
-_PAINT = frozenset(["f", "F", "f*", "S", "s", "B", "B*", "b", "b*", "n"])
-_PATH = {
+PAINT_OPERATORS = frozenset(["f", "F", "f*", "S", "s", "B", "B*", "b", "b*", "n"])
+PATH_STEPS = {
     "m": _append(lambda p, n, m: [("move", apply(m, *n[:2]))] if len(n) > 1 else []),
     "l": _append(lambda p, n, m: [("line", apply(m, *n[:2]))] if len(n) > 1 else []),
     "c": _append(lambda p, n, m: [("curve", apply(m, *n[:2]), apply(m, *n[2:4]), apply(m, *n[4:6]))] if len(n) > 5 else []),
@@ -273,7 +277,7 @@ _PATH = {
     "y": _append(lambda p, n, m: [("curve", apply(m, *n[:2]), apply(m, *n[2:4]), apply(m, *n[2:4]))] if len(n) > 3 else []),
     "re": _append(_rectangle),
     "h": _append(lambda p, n, m: [("close",)]),
-    **dict.fromkeys(_PAINT),
+    **dict.fromkeys(PAINT_OPERATORS),
 }
 _SHOW = frozenset(["Tj", "TJ", "'", '"'])
 
@@ -298,7 +302,7 @@ def _concat(s, n, o):
         s.ctm = times(tuple(n), s.ctm)
 
 
-_TEXT = {
+TEXT_STATE = {
     "BT": _begin,
     "ET": lambda s, n, o: None,
     "Td": lambda s, n, o: s.next_line(n[0], n[1]) if len(n) > 1 else None,
