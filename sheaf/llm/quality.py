@@ -26,7 +26,7 @@ MIN_GROUP = 50
 CUTOFF = 75.0
 #: Least standard deviation of each statistic: of what most rows lack, the spread is zero, and any trace were an outlier.
 FLOOR = (0.4, 0.35, 0.35, 0.35, 0.6)
-#: Groups up to which their estimates (20 numbers each) are broadcast; beyond, they are joined by a shuffle.
+#: Groups up to which their estimates (30 numbers each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 #: Rejected ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -71,28 +71,32 @@ def _vector() -> list[Column]:
     return [F.log1p(F.col("n_words").cast("double")), F.col("word_chars") / words, share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")]
 
 
-def _squared(row: list[Column], center: list[Column], factor: dict) -> Column:
-    """Squared Mahalanobis distance by forward substitution with a lower triangular factor."""
-    out: list[Column] = []
-    for i in range(5):
-        rest = reduce(lambda a, b: a - b, [factor[i, j] * out[j] for j in range(i)], row[i] - center[i])
-        out.append(rest / factor[i, i])
-    return reduce(lambda a, b: a + b, [y * y for y in out])
+def _inverse(flat: Column) -> Column:
+    """The inverse of a symmetric positive matrix, row by row as an array of 25, by sweeping each pivot."""
+    def sweep(a: Column, k: Column) -> Column:
+        pivot = F.get(a, k * 6)
 
+        def cell(x: Column, p: Column) -> Column:
+            i, j = F.floor(p / 5).cast("int"), p % 5
+            inner = x - F.get(a, i * 5 + k) * F.get(a, k * 5 + j) / pivot
+            return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), x / pivot).otherwise(inner)
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """g, m0..m4 and l00..l44 of g, m0..m4 and c00..c44; FLOOR squared is added to each variance."""
-    df = moments
-    for i, j in _PAIRS:
-        total = reduce(lambda a, b: a - b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0))
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(total, F.lit(FLOOR[i] ** 2 / 4))) if i == j else total / F.col(f"l{j}{j}"))
-    return df.select("g", *(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i, j in _PAIRS))
+        return F.transform(a, cell)
+
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(4)), flat, sweep), lambda x: -x)
+
+
+def _estimate(moments: DataFrame) -> DataFrame:
+    """g, m (means) and q (inverse covariance) of g, m0..m4 and c00..c44; FLOOR squared is added to each variance."""
+    cell = lambda i, j: F.col(f"c{max(i, j)}{min(i, j)}") + (FLOOR[i] ** 2 if i == j else 0.0)
+    return moments.select("g", F.array(*(F.col(f"m{i}") for i in range(5))).alias("m"), _inverse(F.array(*(cell(i, j) for i in range(5) for j in range(5)))).alias("q"))
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """rows with the squared distance d2 under the estimate of their g; null without one."""
-    d2 = _squared([F.col(x) for x in _NAMES], [F.col(f"m{i}") for i in range(5)], {(i, j): F.col(f"l{i}{j}") for i, j in _PAIRS})
-    return rows.join(estimate, "g", "left").select(*(F.col(c) for c in rows.columns), d2.alias("d2"))
+    away = [F.col(x) - F.get("m", i) for i, x in enumerate(_NAMES)]
+    terms = [(1.0 if i == j else 2.0) * F.get("q", 5 * i + j) * away[i] * away[j] for i, j in _PAIRS]
+    return rows.join(estimate, "g", "left").select(*(F.col(c) for c in rows.columns), reduce(lambda a, b: a + b, terms).alias("d2"))
 
 
 def _per_group(few: bool, groups: DataFrame) -> DataFrame:
@@ -123,10 +127,10 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     few = medians.count() <= BROADCAST_GROUPS
     away = rows.join(_per_group(few, medians), "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
     start = away.select("g", *(f"m{i}" for i in range(5)), *((F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
-    now = checkpoint(_cholesky(start))
+    now = checkpoint(_estimate(start))
     for _ in range(STEPS):
         scored = _with_distance(rows, _per_group(few, now)).where("d2 is not null")
-        now = checkpoint(_cholesky(_moments(_nearest(scored, few))))
+        now = checkpoint(_estimate(_moments(_nearest(scored, few))))
     return now, few
 
 
