@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sheaf.operators import author, content, forms, pages, redact, text
+from sheaf.plans.session import spread
 from sheaf.sources.document import Document, sections
 from sheaf.sources.syntax import Fault, Stream, format_value, kind_of, references, tokens
 
@@ -56,7 +57,7 @@ def per_document(docs: DataFrame, rows_of: Callable[[bytes], Iterable[tuple]], c
         columns = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select(key, value).mapInArrow(run, ddl)
+    return spread(docs.select(key, value)).mapInArrow(run, ddl)
 
 
 # -- to documents -------------------------------------------------------------------------------------
@@ -84,7 +85,7 @@ def merge_documents(parts: DataFrame) -> DataFrame:
     """
     ddl = f"group_id {dict(parts.dtypes)['group_id']}, content binary, error string"
 
-    def merged(key, table: pa.Table) -> pa.Table:
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         try:
             out = Document()
             for data in table.sort_by("seq").column("content").to_pylist():

@@ -24,6 +24,12 @@ class Region:
     def holds(self, x: float, y: float) -> bool:
         return any(a <= x <= c and b <= y <= d for a, b, c, d in self.boxes)
 
+    def near(self, box) -> Region:
+        """The part of the region that touches a box."""
+        out = Region([])
+        out.boxes = [r for r in self.boxes if r[0] <= box[2] and box[0] <= r[2] and r[1] <= box[3] and box[1] <= r[3]]
+        return out
+
     def touches(self, box) -> bool:
         return any(a <= box[2] and box[0] <= c and b <= box[3] and box[1] <= d for a, b, c, d in self.boxes)
 
@@ -159,10 +165,15 @@ class Excisor:
             glyphs = self.machine.items[start].glyphs if len(self.machine.items) > start else []
             del self.machine.items[start:]
             at, kept = 0, bytearray()
+            ends = [(g.x, g.y) for g in glyphs] + [(g.end_x, g.end_y) for g in glyphs]
+            near = self.region.near((min(p[0] for p in ends), min(p[1] for p in ends), max(p[0] for p in ends), max(p[1] for p in ends))) if ends else self.region
+            if not near.boxes:
+                out.append(part)
+                continue
             for g in glyphs:
                 raw = part[at : at + g.size]
                 at += g.size
-                if self.region.holds(g.x, g.y) or self.region.holds(g.end_x, g.end_y):
+                if near.holds(g.x, g.y) or near.holds(g.end_x, g.end_y):
                     cut = True
                     self.removed.append(g.text)
                     if kept:
@@ -273,33 +284,39 @@ def apply_page(document: Document, page: Ref, crossing: bool = True) -> list[str
     excisor.page(page)
     fragments = ["".join(excisor.removed)] + "".join(excisor.removed).split()
     scrub(document, fragments)
+    body, drawn = [], {}
+    for ref in found:
+        rect, form = _cover(document, ref)
+        if form is not None:
+            name = f"Mark{ref.number}"
+            drawn[name] = form
+            body.append(b"q 1 0 0 1 " + operand_bytes(rect[0]) + b" " + operand_bytes(rect[1]) + b" cm /" + name.encode() + b" Do Q")
+    if body:
+        forms.append_content(document, page, b"\n".join(body), drawn)
+    gone = set(found)
+    document.update(page, Annots=[r for r in forms.annotation_refs(document, page) if r not in gone])
     for ref in found:
-        _bake(document, page, ref)
-        forms.remove_annotation(document, page, ref)
+        document.delete(ref)
     return excisor.removed
 
 
-def _bake(document: Document, page: Ref, annotation: Ref) -> None:
-    """The mark's own form, or its fill and overlay text."""
+def _cover(document: Document, annotation: Ref):
+    """The rectangle, and the mark's own form or one of its fill and overlay text; no form if there is nothing to draw."""
     entries = document.dictionary(annotation)
     rect = document.rectangle(entries.get("Rect"))
     if not rect:
-        return
-    name = f"Mark{annotation.number}"
+        return None, None
     if isinstance(document.resolve(entries.get("RO")), Stream) and isinstance(entries["RO"], Ref):
-        form = entries["RO"]
-    else:
-        g = Generator()
-        fill = [document.number(v) or 0.0 for v in document.array(entries.get("IC"))]
-        if fill:
-            g.emit("set_fill_rgb", *forms.color_rgb(fill)).emit("rect", 0.0, 0.0, rect[2] - rect[0], rect[3] - rect[1]).emit("fill")
-        overlay = document.resolve(entries.get("OverlayText"))
-        resources = {}
-        if isinstance(overlay, bytes):
-            resources = {"Font": {"Helv": fonts.helvetica()}}
-            g.emit("begin_text").emit("set_font", Name("Helv"), 10).emit("set_fill_gray", 1.0 if fill else 0.0).emit("next_line", 2.0, 2.0).emit("show_text", text_of(overlay).encode("cp1252", "replace")).emit("end_text")
-        form = forms.form_xobject(document, rect, g.bytes(), resources)
-    forms.append_content(document, page, b"q 1 0 0 1 " + operand_bytes(rect[0]) + b" " + operand_bytes(rect[1]) + b" cm /" + name.encode() + b" Do Q", {name: form})
+        return rect, entries["RO"]
+    g, resources = Generator(), {}
+    fill = [document.number(v) or 0.0 for v in document.array(entries.get("IC"))]
+    if fill:
+        g.emit("set_fill_rgb", *forms.color_rgb(fill)).emit("rect", 0.0, 0.0, rect[2] - rect[0], rect[3] - rect[1]).emit("fill")
+    overlay = document.resolve(entries.get("OverlayText"))
+    if isinstance(overlay, bytes):
+        resources = {"Font": {"Helv": fonts.helvetica()}}
+        g.emit("begin_text").emit("set_font", Name("Helv"), 10).emit("set_fill_gray", 1.0 if fill else 0.0).emit("next_line", 2.0, 2.0).emit("show_text", text_of(overlay).encode("cp1252", "replace")).emit("end_text")
+    return rect, forms.form_xobject(document, rect, g.bytes(), resources) if fill or isinstance(overlay, bytes) else None
 
 
 def apply_all(document: Document, forbidden: list[bytes] = (), encryption=None, crossing: bool = True) -> bytes:

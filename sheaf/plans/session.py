@@ -1,0 +1,42 @@
+"""The session: settings that the operators count on, and checkpoints in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+}
+
+
+def session(name: str = "sheaf", **settings: str) -> SparkSession:
+    builder = SparkSession.builder.appName(name)
+    for key, value in (SETTINGS | settings).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage into the folder of spark.checkpoint.dir; one of its own only on one machine where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="sheaf-checkpoint-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that is far dearer than a shuffle of its rows; as it is where it has partitions enough."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -147,6 +147,7 @@ class Document:
         self.members: dict[int, dict[int, object]] = {}
         self.security = None
         self.policy_changed = False
+        self.highest: int | None = None
         if data:
             try:
                 self.entries, self.trailer = load_xref(data)
@@ -249,9 +250,12 @@ class Document:
     # -- edits -----------------------------------------------------------------------------------------
 
     def add(self, value) -> Ref:
-        number = max([0, *self.entries, *self.edits, *self.deleted, self.trailer.get("Size", 1) - 1]) + 1
-        self.edits[number] = value
-        return Ref(number, 0)
+        if self.highest is None:
+            size = self.trailer.get("Size")
+            self.highest = max([0, *self.entries, *self.edits, *self.deleted, size - 1 if type(size) is int else 0])
+        self.highest += 1
+        self.edits[self.highest] = value
+        return Ref(self.highest, 0)
 
     def set(self, ref: Ref, value) -> None:
         self.deleted.discard(ref.number)
