@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sheaf.operators import author, content, forms, pages, redact, text
-from sheaf.plans.session import spread
+from sheaf.session import spread
 from sheaf.sources.document import Document, sections
 from sheaf.sources.syntax import Fault, Stream, format_value, kind_of, references, tokens
 

@@ -68,7 +68,7 @@ def renumber(df: DataFrame, group: list[str], order: list[str], name: str = "new
 
 def closure(edges: DataFrame, roots: DataFrame, checkpoint_every: int = 4, depth: int = 10_000) -> DataFrame:
     """(doc_id, node) reachable from roots over edges (doc_id, src, dst): a frontier that each round joins and cuts by what is known."""
-    from sheaf.plans.session import checkpoint
+    from sheaf.session import checkpoint
 
     known = checkpoint(roots.select("doc_id", "node").distinct())
     frontier, rounds = known, 0
@@ -87,7 +87,7 @@ def page_leaves(nodes: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) ->
 
     Level by level to a bounded depth, with the path as the sort key; a node on its own path is passed over.
     """
-    from sheaf.plans.session import checkpoint
+    from sheaf.session import checkpoint
 
     level = roots.select("doc_id", "node", F.array(F.col("node")).alias("seen"), F.array().cast("array<int>").alias("path"))
     leaves = None
@@ -103,7 +103,7 @@ def page_leaves(nodes: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) ->
 
 def inherited(nodes: DataFrame, value: str, depth: int = TREE_DEPTH) -> DataFrame:
     """doc_id, node and the value of the node or its nearest ancestor that has one. nodes: doc_id, node, parent, value."""
-    from sheaf.plans.session import checkpoint
+    from sheaf.session import checkpoint
 
     up = nodes.select("doc_id", F.col("node").alias("above"), F.col("parent").alias("next"), F.col(value).alias("found"))
     now, settled = nodes.select("doc_id", "node", "parent", value), None
@@ -120,7 +120,7 @@ def inherited(nodes: DataFrame, value: str, depth: int = TREE_DEPTH) -> DataFram
 
 def qualified_names(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """doc_id, node, name: own names joined by dots from the root. nodes: doc_id, node, parent, part."""
-    from sheaf.plans.session import checkpoint
+    from sheaf.session import checkpoint
 
     now, done = nodes.select("doc_id", "node", "parent", F.coalesce("part", F.lit("")).alias("name")), None
     up = nodes.select(F.col("doc_id").alias("d"), F.col("node").alias("above"), F.col("parent").alias("next"), F.col("part").alias("more"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import codecs, colour, crypto, images, numeric, scalar
 from sheaf.plans.registry import query
-from sheaf.plans.session import spread
+from sheaf.session import spread
 
 _WORDS = "array(cast(cast(l_quantity as int) as string), concat('-', cast(cast(l_extendedprice as int) as string), '.25'), '1e5', '99999999999999999999', '.5', '+7', '-', '4.')"
 

@@ -176,4 +176,6 @@ def _uri(path: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format `pdf` known, and lets Spark hand filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PdfSource)
