@@ -1,14 +1,17 @@
-"""Shared pieces of the training-data operators: reading tables, cutting lineage, Arrow helpers."""
+"""Shared pieces of the training-data operators: reading tables and Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import checkpoint, spread
+
+__all__ = ["arrow_schema", "blank_words", "bucket_of", "checkpoint", "map_batches", "spread", "table", "texts_as_bytes"]
+
 #: Words are split at these six bytes only (space, tab, LF, VT, FF, CR).
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -17,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the shared folder of spark.checkpoint.dir; survives lost executors.
-
-    Only where neither the session nor its context names a folder (tests on one machine) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="sheaf-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 #: Rows that a Python worker turns into Python objects at once.
 ROWS_AT_ONCE = 256
 
@@ -45,7 +32,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, done: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Narrow map over Arrow batches. function gives columns as lists (or Arrow arrays) in schema's order."""
     target = arrow_schema(schema)
 
@@ -54,7 +41,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
             columns = function(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(batches, schema)
+    return spread(df).mapInArrow(batches, schema)
 
 
 def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

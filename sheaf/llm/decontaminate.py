@@ -7,7 +7,6 @@ place in the phrase, beginning with the rarest; every phrase is sought in every
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import arrow_schema, checkpoint
+from sheaf.llm.common import arrow_schema, checkpoint, spread
 
 #: Lower-cases A-Z and turns what stands between words into spaces; bytes of other letters are parts of words.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -87,7 +86,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int] | None = None) -> DataF
         if doc_ids:
             yield segment()
 
-    return docs.select("doc_id", "text").mapInArrow(segments, INDEX_SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInArrow(segments, INDEX_SCHEMA)
 
 
 class Segment:
@@ -252,7 +251,3 @@ def summary(found: DataFrame) -> DataFrame:
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
-
-#: For tests: the digest of some item ids as summary() makes it.
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
