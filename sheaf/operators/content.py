@@ -94,7 +94,7 @@ class State:
         self.tm = self.line
 
 
-@dataclass
+@dataclass(slots=True)
 class Glyph:
     code: int
     text: str
@@ -154,15 +154,17 @@ class Interpreter:
         """A run of glyphs; without a font nothing is shown and nothing moves."""
         if s.font is None:
             return
-        glyphs, (a, b, c, d, e, f) = [], s.tm
-        for code, size, text, width in s.font.glyphs(data):
-            m = times((a, b, c, d, e, f), s.ctm)
-            x, y = m[2] * s.rise + m[4], m[3] * s.rise + m[5]
-            step = (width * s.font_size + s.char_gap + (s.word_gap if code == 32 and size == 1 else 0.0)) * s.scale
-            e, f = e + step * a, f + step * b
-            reach = width * s.font_size * s.scale
-            glyphs.append(Glyph(code, text, x, y, x + reach * m[0], y + reach * m[1], width, size))
-        s.tm = (a, b, c, d, e, f)
+        a, b, c, d, e, f = s.tm
+        m = times(s.tm, s.ctm)
+        x, y = m[2] * s.rise + m[4], m[3] * s.rise + m[5]
+        size, gap, word_gap, scale, moved, glyphs = s.font_size, s.char_gap, s.word_gap, s.scale, 0.0, []
+        for code, n, text, width in s.font.glyphs(data):
+            # Along the run only the origin moves, by the advance in the direction of the matrix.
+            here, reach = moved, width * size * scale
+            moved += reach + (gap + word_gap if code == 32 and n == 1 else gap) * scale
+            at, end = (x + here * m[0], y + here * m[1]), here + reach
+            glyphs.append(Glyph(code, text, at[0], at[1], x + end * m[0], y + end * m[1], width, n))
+        s.tm = (a, b, c, d, e + moved * a, f + moved * b)
         if glyphs:
             self.items.append(Item("text", s.ctm, glyphs, s.font_size, s.mode, s.fill))
 

@@ -10,7 +10,7 @@ from sheaf.operators.content import Interpreter, Item
 LINE, FRAGMENT, WORD = 0.5, 2.0, 0.25
 
 
-@dataclass
+@dataclass(slots=True)
 class Char:
     text: str
     x: float
@@ -29,14 +29,11 @@ def chars_of(items: list[Item], invisible: bool = True) -> list[Char]:
     for item in items:
         if item.kind != "text" or (item.mode == 3 and not invisible):
             continue
-        for i, g in enumerate(item.glyphs):
-            if i + 1 < len(item.glyphs):
-                after = item.glyphs[i + 1]
-                width = ((after.x - g.x) ** 2 + (after.y - g.y) ** 2) ** 0.5
-            else:
-                width = g.advance * item.font_size
+        glyphs, size = item.glyphs, item.font_size
+        for g, after in zip(glyphs, [*glyphs[1:], None], strict=True):
             if g.text:
-                out.append(Char(g.text, g.x, g.y, width, item.font_size))
+                width = g.advance * size if after is None else after.x - g.x if after.y == g.y and after.x >= g.x else ((after.x - g.x) ** 2 + (after.y - g.y) ** 2) ** 0.5
+                out.append(Char(g.text, g.x, g.y, width, size))
     return out
 
 

@@ -8,6 +8,7 @@ from sheaf.functions import crypto
 from sheaf.operators import documents as D
 from sheaf.operators import forms, pages, redact, text
 from sheaf.plans.registry import query
+from sheaf.session import checkpoint
 
 # A text's words parted by single blanks: what the documents read back as, page by page and line by line.
 _WORDS = r"trim(regexp_replace(text, '[\x{00}-\x{20}\x{7f}-\x{a0}]+', ' ', 'g'))"
@@ -97,7 +98,7 @@ def _rotate_incrementally(document):
 @query("snk02_incremental", "SELECT doc_id, 90 AS rotate, 2 AS sections, true AS prefix FROM documents")
 def _incremental(t):
     docs = _authored(t)
-    edited = D.edit_documents(docs, _rotate_incrementally)
+    edited = checkpoint(D.edit_documents(docs, _rotate_incrementally))  # read more than once
     turned = D.pages_of(edited).where("page_no = 0").select("doc_id", "rotate")
     sections = D.xref_of(edited).groupBy("doc_id").agg((F.max("section_seq") + 1).alias("sections"))
     same = docs.select("doc_id", F.col("content").alias("old")).join(edited, "doc_id").select("doc_id", (F.substring("content", F.lit(1), F.length("old")) == F.col("old")).alias("prefix"))
@@ -147,7 +148,7 @@ def _redact(document):
 @query("mu13_redaction", f"SELECT doc_id, CAST(length({_SOLID}) - (length(text) - length(replace(text, 'tion', ''))) AS BIGINT) AS chars, false AS still_there FROM documents")
 def _redaction(t):
     """The marked words are gone, all other characters are left."""
-    done = D.edit_documents(_authored(t), _redact)
+    done = checkpoint(D.edit_documents(_authored(t), _redact))  # read more than once
     glyphs = D.glyphs_of(done).groupBy("doc_id").agg(F.sum(F.when(F.col("unicode") != " ", 1).otherwise(0)).alias("chars"))
     bytes_left = done.select("doc_id", (F.position(F.lit(b"tion"), F.col("content")) > 0).alias("still_there"))
     return bytes_left.join(glyphs, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "still_there")
@@ -207,7 +208,7 @@ def _flatten(t):
         _fill(document)
         forms.flatten(document)
 
-    done = D.edit_documents(D.edit_documents(_authored(t), _with_form), flat)
+    done = checkpoint(D.edit_documents(D.edit_documents(_authored(t), _with_form), flat))  # read more than once
     left = D.fields_of(done).groupBy("doc_id").agg(F.count("name").alias("fields"))
     shown = D.page_texts_of(done).where("page_no = 0").select("doc_id", F.col("text").contains("after").alias("shown"))
     return shown.join(left, "doc_id", "left").select("doc_id", F.coalesce("fields", F.lit(0)).alias("fields"), "shown")
@@ -225,7 +226,7 @@ def _page_edits(t):
         pages.set_box(document, 0, "crop", [0, 0, 100, 100])
 
     docs = _authored(t)
-    edited = D.edit_documents(docs, edit)
+    edited = checkpoint(D.edit_documents(docs, edit))  # read more than once
     last = D.pages_of(edited).groupBy("doc_id").agg(F.max_by("rotate", "page_no").alias("rotate"), F.count("*").alias("n"))
     before = D.pages_of(docs).groupBy("doc_id").agg(F.count("*").alias("m"))
     return last.join(before, "doc_id").select("doc_id", (F.col("n") - F.col("m")).cast("int").alias("difference"), "rotate", F.lit(" ").alias("first_text"))
