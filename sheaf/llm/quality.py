@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sheaf.llm.common import blank_words, checkpoint
+from sheaf.llm.common import blank_words, checkpoint, spread
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -142,7 +142,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     base rules reject (d2 is null). Repeated rows count as often as they stand there.
     """
     group = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
-    counted = statistics(docs)
+    counted = statistics(spread(docs))
     rows = checkpoint(counted.select("*", base_failed().alias("base_failed"), group.alias("g"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True))))
     estimate, few = estimates(rows.where(~F.col("base_failed")).select("g", *_NAMES))
     scored = _with_distance(rows, _per_group(few, estimate))
