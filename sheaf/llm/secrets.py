@@ -23,6 +23,7 @@ KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of fewer fails as a whole, wherever in it one begins
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_HEX_DIGITS, _HEX_RUN = bytes(120 if b in b"0123456789abcdef" else 32 for b in range(256)), b"x" * 24
 _TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
 #: The words that the class of a token keeps as they are.
 _CUES = frozenset("password passwd secret token key apikey api_key pwd auth bearer credential credentials private access login user".split())
@@ -36,10 +37,18 @@ _NEVER = -1e4
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, kind, start of the value), by start and then kind; ends exclusive, in code points."""
-    found = [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    found += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text)]
-    found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
+    """(start, end, kind, start of the value), by start and then kind; ends exclusive, in code points.
+
+    A pattern is run where a plain search finds what all of its matches hold.
+    """
+    found = []
+    low = text.lower()
+    if any(word in low for word in ("passw", "secret", "token", "api")):
+        found += [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text)]
+    if _HEX_RUN in text.encode().translate(_HEX_DIGITS):
+        found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -52,6 +61,9 @@ def token_class(token: str) -> str:
     low = token.lower()
     if low in _CUES or (len(token) == 1 and not token.isalnum()):
         return low
+    if token.isalpha() and token.isascii():  # most tokens: what follows, for letters only
+        cases = "10" if token.islower() else "01" if token.isupper() else "11"
+        return f"{min(len(token).bit_length(), 8)}{cases}00000"
     kinds = (any("a" <= c <= "z" for c in token), any("A" <= c <= "Z" for c in token), any("0" <= c <= "9" for c in token), any(c in "+/_.-" for c in token), not token.isascii())
     size = min(len(token).bit_length(), 8)
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
@@ -63,11 +75,23 @@ def token_class(token: str) -> str:
 def file_class(text: str) -> int:
     """How much of the file is digits and how much marks of code, in thirds: one of nine."""
     n = max(len(text), 1)
-    digits = len(re.findall(r"[0-9]", text)) / n
-    marks = len(re.findall(r"[{}();=<>\[\]]", text)) / n
+    digits = sum(map(text.count, "0123456789")) / n
+    marks = sum(map(text.count, "{}();=<>[]")) / n
     return 3 * ((digits > 0.01) + (digits > 0.05)) + (marks > 0.005) + (marks > 0.03)
 
 
+class _Classes(dict):
+    """Tokens to the numbers of their classes, found out when first asked for."""
+
+    def __init__(self, classes: dict[str, int]):
+        super().__init__()
+        self.classes = classes
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = self.classes.get(token_class(token), 0)
+        return number
+
+
 @dataclass
 class Field:
     """A fitted field: weights by class and label. Class 0 stands for unknown ones and for what lies beyond the ends."""
@@ -79,19 +103,12 @@ class Field:
     ahead: np.ndarray
     file: np.ndarray
     move: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict, repr=False)
+    cache: _Classes | None = field(default=None, repr=False)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHED_TOKENS:
-            cache.clear()
-        out = []
-        for t in tokens:
-            c = cache.get(t)
-            if c is None:
-                c = cache[t] = self.classes.get(token_class(t), 0)
-            out.append(c)
-        return np.array(out, np.int64)
+        if self.cache is None or len(self.cache) > CACHED_TOKENS:
+            self.cache = _Classes(self.classes)
+        return np.fromiter(map(self.cache.__getitem__, tokens), np.int64, len(tokens))
 
     def emissions(self, ids: np.ndarray, kind: int) -> np.ndarray:
         out = self.own[ids] + self.file[kind]
