@@ -25,6 +25,9 @@ LEAF_BYTES = 24
 #: Encodings of pieces and seams kept by one Python worker; the memory bound of the operator.
 CACHED_PIECES = 150_000
 
+#: The rank of what has none.
+_NONE = 1 << 60
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -50,18 +53,18 @@ class ByteBPE:
         """Merges the adjacent pair of lowest rank, the leftmost first, until none has a rank."""
         if len(data) > 4 * LEAF_BYTES:
             return self._merge_long(data)
-        ranks = self.ranks
+        rank_of = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (least is None or rank < least):
-                    least, at = rank, i
-            if least is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        pairs = [rank_of(data[i : i + 2], _NONE) for i in range(len(data) - 1)]  # the rank of each part with the next
+        while pairs and (least := min(pairs)) != _NONE:
+            at = pairs.index(least)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank_of(parts[at - 1] + parts[at], _NONE)
+            if at < len(pairs):
+                pairs[at] = rank_of(parts[at] + parts[at + 1], _NONE)
+        return [self.ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap over a linked list, for windows that had to grow."""
