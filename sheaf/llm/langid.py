@@ -28,15 +28,30 @@ def words(text: str | None) -> list[str]:
     return _letters(text.lower()) if text else []
 
 
+class _Scores(dict):
+    """Words to the rows of a table of their scores, made when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.table = model, np.zeros((1024, len(model.langs)))
+
+    def __missing__(self, word: str) -> int:
+        place = len(self)
+        if place == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[place] = self.model.score(word)
+        self[word] = place
+        return place
+
+
 @dataclass
 class Model:
     """Log frequencies per language of words and of n-grams; of bounded size."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    cache: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: list[np.ndarray] = field(default_factory=list, repr=False)
+    words: dict[str, tuple]
+    grams: dict[str, tuple]
+    cache: _Scores | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, counts: list[tuple[str, str, int]]) -> Model:
@@ -53,11 +68,11 @@ class Model:
         return cls(langs, cls.logs(known), {g: v for size in GRAMS for g, v in cls.logs(grams[size]).items()})
 
     @staticmethod
-    def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def logs(counts: dict[str, np.ndarray]) -> dict[str, tuple]:
         if not counts:
             return {}
         bottom = np.log(sum(counts.values()) + SMOOTH * len(counts))
-        return {k: np.log(v + SMOOTH) - bottom for k, v in counts.items()}
+        return {k: tuple((np.log(v + SMOOTH) - bottom).tolist()) for k, v in counts.items()}
 
     @staticmethod
     def grams_of(word: str, n: int) -> list[str]:
@@ -65,30 +80,23 @@ class Model:
         marked = f"<{word}>" if n > 1 else word
         return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> tuple:
         if (found := self.words.get(word)) is not None:
             return found
         for n in GRAMS:
             if seen := [v for g in self.grams_of(word, n) if (v := self.grams.get(g)) is not None]:
-                return sum(seen) / n
-        return np.zeros(len(self.langs))
+                return tuple(sum(column) / n for column in zip(*seen, strict=True))
+        return (0.0,) * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Ties go to the language that sorts first. score: its share of the posterior under equal priors."""
         found = words(text)
         if not found or not self.langs:
             return "und", 0.0
-        if len(self.cache) > CACHED_WORDS:
-            self.cache, self.rows = {}, []
-        at = []
-        for w in found:
-            i = self.cache.get(w)
-            if i is None:
-                i = self.cache[w] = len(self.rows)
-                self.rows.append(self.score(w))
-            at.append(i)
-        times = Counter(at)
-        total = sum(self.rows[i] * n for i, n in sorted(times.items()))
+        if self.cache is None or len(self.cache) > CACHED_WORDS:
+            self.cache = _Scores(self)
+        places = np.fromiter(map(self.cache.__getitem__, found), np.int64, len(found))
+        total = self.cache.table[places].sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
