@@ -300,7 +300,7 @@ def decode(data: bytes, filters: list[tuple[str, dict]]) -> tuple[bytes, str | N
         elif kind == "LZWDecode":
             data = predictor_decode(lzw_decode(data, bool(parms.get("EarlyChange", 1))), parms)
         else:
-            data = {"ASCIIHexDecode": hex_decode, "ASCII85Decode": ascii85_decode, "RunLengthDecode": run_length_decode}[kind](data)
+            data = _CODECS[kind][0](data)
     return data, None
 
 
@@ -312,8 +312,8 @@ def encode(data: bytes, filters: list[tuple[str, dict]]) -> bytes:
             data = flate_encode(predictor_encode(data, parms))
         elif kind == "LZWDecode":
             data = lzw_encode(predictor_encode(data, parms), bool(parms.get("EarlyChange", 1)))
-        elif kind in ("ASCIIHexDecode", "ASCII85Decode", "RunLengthDecode"):
-            data = {"ASCIIHexDecode": hex_encode, "ASCII85Decode": ascii85_encode, "RunLengthDecode": run_length_encode}[kind](data)
+        elif kind in _CODECS:
+            data = _CODECS[kind][1](data)
         else:
             raise Fault("unsupportedFeature", f"no encoder for {name}")
     return data
@@ -331,14 +331,12 @@ def chain_of(entries: dict) -> list[tuple[str, dict]]:
 
 # -- on columns ---------------------------------------------------------------------------------------
 
-_CODECS = {
-    "ASCIIHexDecode": (hex_decode, hex_encode), "ASCII85Decode": (ascii85_decode, ascii85_encode), "RunLengthDecode": (run_length_decode, run_length_encode),
-    "LZWDecode": (lzw_decode, lzw_encode), "FlateDecode": (flate_decode, flate_encode),
-}
+#: Codecs without parameters: decoder and encoder.
+_CODECS = {"ASCIIHexDecode": (hex_decode, hex_encode), "ASCII85Decode": (ascii85_decode, ascii85_encode), "RunLengthDecode": (run_length_decode, run_length_encode)}
 
 
 def register(name: str, decoder, encoder) -> None:
-    """Adds a codec under a name of its own; it must be importable on the executors."""
+    """Adds a codec under a name of its own, in this process: in a UDF, call it there."""
     FILTER_NAMES[name] = name
     _CODECS[name] = (decoder, encoder)
 
