@@ -72,7 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RENDER = "'<|' || replace(coalesce(t.role, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)"
 _MASK = "(length(replace(coalesce(t.role, ''), '<|', '< |')) + 5)::VARCHAR || ':0,' || (length(replace(coalesce(t.text, ''), '<|', '< |')) + 8)::VARCHAR || CASE WHEN t.role = 'assistant' THEN ':1' ELSE ':0' END"
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": f"""
+        WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, least({decontaminate.WINDOW}, len(w)) AS size, array_to_string(w[i:i + least({decontaminate.WINDOW}, len(w)) - 1], ' ') AS g
+                    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {decontaminate.WINDOW - 1}) + 1)) AS i FROM items WHERE len(w) > 0)),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        grams AS (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows))),
+        found AS (SELECT r, item_id, i, grams.size FROM grams JOIN windows ON grams.size = windows.size AND grams.g = windows.g),
+        hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM found) GROUP BY r),
+        ids AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)""",
     "op5_warc_revisit": r"""
         WITH p AS (SELECT page_id, url, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag FROM pages),
         r AS (SELECT page_id * 2 AS record_id, url, page_id * 2 AS ts, 0 AS k, page_id, tag FROM p

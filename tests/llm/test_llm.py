@@ -350,7 +350,7 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in queries.ORACLES.items():
         found = queries.QUERIES[name](spark, SF)
