@@ -26,7 +26,9 @@ FIT_TOXIC, FIT_OTHER, FIT_WORDS = 1200, 2400, 20_000
 #: Distinct words whose projections a Python worker keeps, and windows scored at once: the bounds of its memory.
 CACHED_WORDS, BATCH_WINDOWS = 100_000, 1024
 #: In training: windows at random of a text with label 0, share of word vectors dropped, decay of the weights.
-OTHERS, DROPPED, DECAY = 2, 0.3, 1e-4
+OTHERS, DROPPED, DECAY = 2, 0.5, 1e-4
+#: Weight of a label 1 that nothing in its text bears out.
+DOUBTED = 0.05
 
 #: Lower-cases A-Z; all ASCII but letters and digits parts words.
 _FOLD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -259,9 +261,11 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int =
     height = np.where(real > 0, rank[rows], -np.inf).max(axis=1)
     first, second, t = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     importance = np.where(y == 1, max(1.0, (1 - y.mean()) / y.mean() / 2), 1.0)
+    trust = np.ones(len(y))
     for epoch in range(epochs):
         if epoch >= epochs // 3:
             height = net.window_logits(distinct, rows, real)
+            trust = _trust(height, of_text, y)
         picked = []
         for i in range(len(ids)):
             if (n := of_text[i + 1] - of_text[i]) > 0:
@@ -276,7 +280,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int =
             part = np.concatenate([places[bounds[u] : bounds[u + 1]] for u in used])
             begin = np.cumsum([0, *(bounds[u + 1] - bounds[u] for u in used[:-1])])
             kept = np.where(draw.random(len(used)) < DROPPED, 0, word_id[used])
-            _, g = net.gradients(kept[inverse], (part, begin, inverse), real[some], y[owner[some]], importance[owner[some]] / len(some))
+            _, g = net.gradients(kept[inverse], (part, begin, inverse), real[some], y[owner[some]], (importance * trust)[owner[some]] / len(some))
             t += 1
             for k in net.w:
                 step = g[k] + DECAY * net.w[k] * (g[k] != 0)
@@ -286,6 +290,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int =
     return net
 
 
+def _trust(height: np.ndarray, of_text: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the labels: low for a label 1 if no window of its text stands above what texts with label 0 reach.
+
+    Such a label is more likely an error than a hint, and learning it by heart makes clean texts look alike.
+    """
+    top = np.array([height[a:b].max() if b > a else -np.inf for a, b in zip(of_text, of_text[1:], strict=False)])
+    return np.where((y == 1) & (top < np.quantile(top[y == 0], 0.98)), DOUBTED, 1.0)
+
+
 def _log_odds(ids, y, places, bounds, n_words):
     """Smoothed log odds of label 1 for texts that hold each word, and each place of n-grams."""
     of_word, of_place = np.zeros((2, n_words)), np.zeros((2, CHAR_PLACES))
