@@ -1,6 +1,6 @@
 """All queries of the document engine."""
 
-from sheaf.plans import documents, relations, rows, scalars, streams  # noqa: F401  (they register their queries)
+from sheaf.plans import core, documents, relations, rows, scalars, streams  # noqa: F401  (they register their queries)
 from sheaf.plans.registry import ORACLES, QUERIES
 
 
