@@ -126,7 +126,11 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of each row of (doc_id, text); `und` and 0 without a letter or a learned language."""
+    """doc_id, lang_pred and score of each row of (doc_id, text), other columns aside.
+
+    `und` and 0 for a null text, one without a letter, or without a learned language. Ties go to the language that sorts
+    first; repeated rows repeat; a long text is scored as a whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(rows: pa.RecordBatch) -> dict:

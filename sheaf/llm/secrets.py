@@ -243,6 +243,7 @@ def scan(docs: DataFrame, model: Field) -> DataFrame:
     """The spans of each row of (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A span of the field is added where it touches no base span; base spans all stay. A null text is empty: no spans.
+    A row in gives a row out, so repeated rows repeat; other columns are ignored; texts are scanned whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

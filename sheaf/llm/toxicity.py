@@ -312,7 +312,10 @@ def _log_odds(ids, y, places, bounds, n_words):
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int = FIT_OTHER) -> Network:
-    """Learns from the texts of docs with labels (doc_id, toxic 0/1): at most so many of each label, the first by a hash of their ids."""
+    """Learns from the texts of docs with labels (doc_id, toxic 0/1): at most so many of each label, the first by a hash of their ids.
+
+    Null ids, labels and texts are left out, as are labels of unknown documents. Without both labels the network is a constant.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit("toxicity"), "doc_id").alias("h")).dropna()
     drawn = [known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most) for label, most in ((1, toxic), (0, other))]
     # At most toxic + other rows of three numbers, so a broadcast of bounded size; texts are not shuffled.
@@ -323,7 +326,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int =
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id and score of each row of (doc_id, text). Null and wordless texts get the network's constant."""
+    """doc_id and score of each row of (doc_id, text), other columns aside.
+
+    Null and wordless texts get the network's constant. All windows of a long text are scored. Repeated rows repeat.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def batch(rows: pa.RecordBatch) -> dict:
