@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import broadcast_if_small, checkpoint
+
 TREE_DEPTH = 64
 
 # -- newest wins and change logs ----------------------------------------------------------------------
@@ -68,8 +70,6 @@ def renumber(df: DataFrame, group: list[str], order: list[str], name: str = "new
 
 def closure(edges: DataFrame, roots: DataFrame, checkpoint_every: int = 4, depth: int = 10_000) -> DataFrame:
     """(doc_id, node) reachable from roots over edges (doc_id, src, dst): a frontier that each round joins and cuts by what is known."""
-    from sheaf.session import checkpoint
-
     known = checkpoint(roots.select("doc_id", "node").distinct())
     frontier, rounds = known, 0
     while rounds < depth and not frontier.isEmpty():
@@ -87,8 +87,6 @@ def page_leaves(nodes: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) ->
 
     Level by level to a bounded depth, with the path as the sort key; a node on its own path is passed over.
     """
-    from sheaf.session import checkpoint
-
     level = roots.select("doc_id", "node", F.array(F.col("node")).alias("seen"), F.array().cast("array<int>").alias("path"))
     leaves = None
     for _ in range(depth):
@@ -103,8 +101,6 @@ def page_leaves(nodes: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) ->
 
 def inherited(nodes: DataFrame, value: str, depth: int = TREE_DEPTH) -> DataFrame:
     """doc_id, node and the value of the node or its nearest ancestor that has one. nodes: doc_id, node, parent, value."""
-    from sheaf.session import checkpoint
-
     up = nodes.select("doc_id", F.col("node").alias("above"), F.col("parent").alias("next"), F.col(value).alias("found"))
     now, settled = nodes.select("doc_id", "node", "parent", value), None
     for _ in range(depth):
@@ -120,8 +116,6 @@ def inherited(nodes: DataFrame, value: str, depth: int = TREE_DEPTH) -> DataFram
 
 def qualified_names(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """doc_id, node, name: own names joined by dots from the root. nodes: doc_id, node, parent, part."""
-    from sheaf.session import checkpoint
-
     now, done = nodes.select("doc_id", "node", "parent", F.coalesce("part", F.lit("")).alias("name")), None
     up = nodes.select(F.col("doc_id").alias("d"), F.col("node").alias("above"), F.col("parent").alias("next"), F.col("part").alias("more"))
     for _ in range(depth):
@@ -140,8 +134,12 @@ def qualified_names(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
 
 
 def hits(points: DataFrame, regions: DataFrame, keys: list[str], x: str = "x", y: str = "y", survive: bool = False) -> DataFrame:
-    """Points in any region (x0, y0, x1, y1) of equal keys, edges counting; or those in none. The keys make it an equi-join."""
-    p, r = points.alias("p"), regions.alias("r")
+    """Points in any region (x0, y0, x1, y1) of equal keys, edges counting; or those in none.
+
+    The keys make it an equi-join. Few regions are broadcast, so a key that most points share is no hot task; many are
+    joined by a shuffle, where the adaptive planner splits the points of a hot key.
+    """
+    p, r = points.alias("p"), broadcast_if_small(regions).alias("r")
     equal = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
     inside = F.col(f"p.{x}").between(F.col("r.x0"), F.col("r.x1")) & F.col(f"p.{y}").between(F.col("r.y0"), F.col("r.y1"))
     condition = inside
@@ -151,8 +149,8 @@ def hits(points: DataFrame, regions: DataFrame, keys: list[str], x: str = "x", y
 
 
 def overlapping(boxes: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes that touch any region of equal keys."""
-    b, r = boxes.alias("b"), regions.alias("r")
+    """Boxes that touch any region of equal keys; joined as hits() does."""
+    b, r = boxes.alias("b"), broadcast_if_small(regions).alias("r")
     condition = (F.col("b.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("b.x1")) & (F.col("b.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("b.y1"))
     for k in keys:
         condition = (F.col(f"b.{k}") == F.col(f"r.{k}")) & condition
