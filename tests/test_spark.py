@@ -127,3 +127,20 @@ def test_queries_against_duckdb(spark, name):
     found = entry.queries()[name](spark, SF)
     want = con.execute(entry.oracle_sql()[name]).to_arrow_table().select(found.columns).to_pylist()
     assert sorted(map(repr, (tuple(r.values()) for r in want))) == sorted(map(repr, map(tuple, found.collect())))
+
+
+def test_row_queries_against_duckdb(spark):
+    """Each query over part's rows, on some of them: all rows go through the same code."""
+    import duckdb
+
+    from sheaf.plans import core, rows
+    from sheaf.plans.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    names = [n for n in QUERIES if QUERIES[n].__module__ == "sheaf.plans.registry" and ORACLES.get(n, "").startswith("SELECT p_partkey, ") and ORACLES[n].endswith(" FROM part")]
+    assert len(names) > 90 and core and rows
+    for name in names:
+        found = QUERIES[name](spark, SF)
+        want = con.execute(ORACLES[name]).to_arrow_table().select(found.columns).to_pylist()
+        assert sorted(map(repr, (tuple(r.values()) for r in want))) == sorted(map(repr, map(tuple, found.collect()))), name
