@@ -223,13 +223,15 @@ def window_starts(n: int) -> list[int]:
     return [0] if 0 < n <= WINDOW else list(range(0, n - WINDOW + STRIDE, STRIDE)) if n else []
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Network:
+def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int | None = None, rate: float = 0.02, seed: int = 11) -> Network:
     """Fits a network to labels of whole texts, from some windows of each text in each epoch.
 
     Of texts with label 1 that is the highest window; of others the highest and OTHERS at random. At first, windows are
     ranked by the log odds of their words and n-grams under the labels, later by the network. Words lose their own vector
-    at random (DROPPED), so that their characters have to tell as well.
+    at random (DROPPED), so that their characters have to tell as well. Each batch (of a sixteenth of the texts, 16 to 128
+    windows) also has a window without words as one of label 0.
     """
+    batch = batch or min(128, max(16, len(texts) // 16))
     found = [words(t) for t in texts]
     draw, y = np.random.default_rng(seed), np.array(labels, np.float32)
     seen: Counter = Counter(w for f in found for w in set(f))
@@ -275,12 +277,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int =
         order = draw.permutation(np.array(picked, np.int64))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            used, inverse = np.unique(rows[some], return_inverse=True)
+            shown, there = (np.concatenate([a[some], np.zeros((1, WINDOW), a.dtype)]) for a in (rows, real))
+            target, weight = np.append(y[owner[some]], np.float32(0)), np.append((importance * trust)[owner[some]], 1.0)
+            used, inverse = np.unique(shown, return_inverse=True)
             inverse = inverse.reshape(-1, WINDOW)
             part = np.concatenate([places[bounds[u] : bounds[u + 1]] for u in used])
             begin = np.cumsum([0, *(bounds[u + 1] - bounds[u] for u in used[:-1])])
             kept = np.where(draw.random(len(used)) < DROPPED, 0, word_id[used])
-            _, g = net.gradients(kept[inverse], (part, begin, inverse), real[some], y[owner[some]], (importance * trust)[owner[some]] / len(some))
+            _, g = net.gradients(kept[inverse], (part, begin, inverse), there, target, weight / len(weight))
             t += 1
             for k in net.w:
                 step = g[k] + DECAY * net.w[k] * (g[k] != 0)
