@@ -22,7 +22,7 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 #: Places that character 3- and 4-grams are hashed to.
 CHAR_PLACES = 1 << 13
 #: Bounds of the fit: toxic and other documents (drawn by a hash of the id), and words with a vector of their own.
-FIT_TOXIC, FIT_OTHER, FIT_WORDS = 1200, 2400, 20_000
+FIT_TOXIC, FIT_OTHER, FIT_WORDS = 800, 1600, 20_000
 #: Distinct words whose projections a Python worker keeps, and windows scored at once: the bounds of its memory.
 CACHED_WORDS, BATCH_WINDOWS = 100_000, 1024
 #: In training: windows at random of a text with label 0, share of word vectors dropped, decay of the weights.
@@ -245,7 +245,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
     number = {w: i for i, w in enumerate(distinct)}
     places, starts = char_grams(distinct)
     bounds = np.append(starts, len(places))
-    ids = [np.array([number[w] for w in f], np.int64) for f in found]
+    ids = [np.array([number[w] for w in f], np.int32) for f in found]
+    del found, number
     word_id = np.array([vocabulary.get(w, 0) for w in distinct], np.int64)
     odds = _log_odds(ids, y, places, bounds, len(distinct))
     inside = np.flatnonzero(word_id)
@@ -254,12 +255,13 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
     # All windows of all texts: their text, first word and end, in one table.
     cuts = [window_starts(len(own)) for own in ids]
     owner = np.repeat(np.arange(len(ids)), [len(c) for c in cuts])
-    flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
+    flat = np.concatenate([*ids, np.zeros(WINDOW, np.int32)])
     base = np.cumsum([0, *map(len, ids)])
     at = np.array([base[i] + s for i, c in enumerate(cuts) for s in c], np.int64)[:, None] + np.arange(WINDOW)
     real = (at < base[owner + 1][:, None]).astype(np.float32)
     rows = np.where(real > 0, flat[np.minimum(at, len(flat) - 1)], 0)
     of_text = np.cumsum([0, *map(len, cuts)])
+    del at, flat
     height = np.where(real > 0, rank[rows], -np.inf).max(axis=1)
     first, second, t = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     importance = np.where(y == 1, max(1.0, (1 - y.mean()) / y.mean() / 2), 1.0)
