@@ -3,6 +3,7 @@
 The verdict: in each group of (lang, source), a minimum covariance determinant is sought over five transformed
 statistics by concentration steps. Each step takes the mean and covariance of the HALF of the rows that lay nearest
 under the estimate before, starting from medians and median absolute deviations. Rows beyond CUTOFF are rejected.
+A group too small for that is judged by the estimate of its language's rows, or of all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MIN_WORDS = 50
 #: Share of a group's rows that an estimate is made of.
 HALF = 0.75
 STEPS = 3
-#: Groups with fewer rows than this have no estimate; their rows pass.
+#: Groups with fewer rows than this are judged by their language's estimate; languages with fewer, by that of all rows.
 MIN_GROUP = 50
 #: Squared distance above which a row is rejected; the chi-square quantile for five statistics at one in 10**12 is 65.
 CUTOFF = 75.0
@@ -121,9 +122,9 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(*means, *products)
 
 
-def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Location and factored scatter of each g of (g, x0..x4), for groups of at least MIN_GROUP rows; and whether these are few."""
-    medians = checkpoint(rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))).where(F.col("n") >= MIN_GROUP))
+def estimates(rows: DataFrame) -> DataFrame:
+    """Location and factored scatter of each g of (g, x0..x4)."""
+    medians = checkpoint(rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))))
     few = medians.count() <= BROADCAST_GROUPS
     away = rows.join(_per_group(few, medians), "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
     start = away.select("g", *(f"m{i}" for i in range(5)), *((F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
@@ -131,21 +132,46 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     for _ in range(STEPS):
         scored = _with_distance(rows, _per_group(few, now)).where("d2 is not null")
         now = checkpoint(_estimate(_moments(_nearest(scored, few))))
-    return now, few
+    return now
+
+
+def _pools(rows: DataFrame) -> DataFrame:
+    """g, used (whose estimate judges the group) and fits (the estimates that its rows go into) of each g of (g, l, base_failed).
+
+    A group's estimate is its own, its language's (l) or that of all rows: the first with MIN_GROUP rows to learn from,
+    or the last. Language and corpus are fitted on all their rows, those of large groups too, where a group needs them.
+    """
+    sizes = checkpoint(rows.groupBy("g", "l").agg(F.count_if(~F.col("base_failed")).alias("n")))
+    languages = checkpoint(sizes.groupBy("l").agg(F.sum("n").alias("of_l"), F.min("n").alias("least")))
+    wide = (F.col("least") < MIN_GROUP) & (F.col("of_l") >= MIN_GROUP)
+    rest = not languages.where(F.col("of_l") < MIN_GROUP).isEmpty()
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("k"))
+    own, language, corpus = key(0, F.col("g")), key(1, F.col("l")), key(2, F.lit(0))
+    fits = F.filter(F.array(F.when(F.col("n") >= MIN_GROUP, own), F.when(wide, language), F.when(F.lit(rest), corpus)), lambda x: x.isNotNull())
+    used = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("of_l") >= MIN_GROUP, language).otherwise(corpus)
+    few = languages.count() <= BROADCAST_GROUPS
+    return checkpoint(sizes.join(_per_group(few, languages), "l").select("g", used.alias("used"), fits.alias("fits")))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The counts, base_failed, kept and d2 of each row of (doc_id, text, lang, source).
 
     base_failed and d2 > CUTOFF reject. Null text has no words, and so fails. Null lang and source are values of their
-    own. The fit takes the rows that did not fail, all of them; in groups of fewer than MIN_GROUP of these, only the
-    base rules reject (d2 is null). Repeated rows count as often as they stand there.
+    own. The fit takes the rows that did not fail, all of them; groups of fewer than MIN_GROUP of these are judged by
+    their language's estimate, and languages of fewer by that of all rows. So d2 is null only if all rows failed.
+    Repeated rows count as often as they stand there.
     """
+    language = F.xxhash64("lang", F.col("lang").isNull())
     group = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
     counted = statistics(spread(docs))
-    rows = checkpoint(counted.select("*", base_failed().alias("base_failed"), group.alias("g"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True))))
-    estimate, few = estimates(rows.where(~F.col("base_failed")).select("g", *_NAMES))
-    scored = _with_distance(rows, _per_group(few, estimate))
+    rows = checkpoint(counted.select("*", base_failed().alias("base_failed"), group.alias("g"), language.alias("l"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True))))
+    pools = _pools(rows)
+    few = pools.count() <= BROADCAST_GROUPS
+    passed = rows.where(~F.col("base_failed")).join(_per_group(few, pools), "g")
+    estimate = estimates(passed.select(F.explode("fits").alias("g"), *_NAMES))
+    named = _per_group(estimate.count() <= BROADCAST_GROUPS, estimate.withColumnRenamed("g", "used"))
+    per_group = pools.join(named, "used").select("g", "m", "q")
+    scored = _with_distance(rows, _per_group(few, per_group))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False))).alias("kept"), "d2")
 
 

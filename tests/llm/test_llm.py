@@ -323,6 +323,27 @@ def test_quality_outliers(spark):
     assert all(found[i]["kept"] for i in range(120)) and not any(found[i]["kept"] for i in (500, 501, 502)) and not found[500]["base_failed"]
 
 
+def test_quality_of_small_groups(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    good = [(i, " ".join(word() for _ in range(rng.randrange(60, 400))), "xy"[i % 2] if i < 110 else "z", f"s{i % 7}") for i in range(130)]
+    odd = [(500 + i, " ".join(word() + "$$$###" for _ in range(200)), lang, source) for i, (lang, source) in enumerate([("x", "s0"), ("y", "new"), ("z", "s1"), ("w", None), (None, "s2")])]
+    frame = spark.createDataFrame(good + odd, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality.verdicts(frame).collect()}
+    assert len(found) == 135 and all(r["d2"] is not None and not r["base_failed"] for r in found.values())
+    assert {i for i, r in found.items() if not r["kept"]} == {500, 501, 502, 503, 504}
+    few = quality.verdicts(frame.where("doc_id < 3")).collect()  # a table smaller than any group
+    assert all(r["kept"] and r["d2"] is not None for r in few)
+
+
+def test_quality_rejects_labelled_junk(spark, docs):
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    found = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
+    judged = {d for d in bad | good if d in found and not found[d]["base_failed"]}
+    assert judged & bad and {d for d in judged if not found[d]["kept"]} == judged & bad
+
+
 def test_inverse(spark):
     a = np.random.default_rng(1).normal(size=(5, 9))
     a = a @ a.T
