@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import BLANKS, checkpoint
 
 #: A line in more than this share of its host's pages is boilerplate, if in at least MIN_PAGES of them.
-MAX_RATIO = 0.1
+MAX_RATIO = 0.05
 MIN_PAGES = 5
 #: Boilerplate lines up to which they are broadcast (16 bytes each, and the host); beyond, they are joined by a shuffle.
 BROADCAST_LINES = 200_000

@@ -364,6 +364,12 @@ def test_line_dedup(spark, monkeypatch, limit):
     assert found[100]["text"] == "menu\nonce" and found[101]["text"] is None and found[102]["text"] == "" and found[103]["text"] == ""
 
 
+def test_line_dedup_drops_a_line_of_few_pages(spark):
+    rows = [(i, (f"line {i}\nfooter" if i % 12 == 0 else f"line {i}\ncommon" if i % 25 == 0 else f"line {i}"), "h") for i in range(600)]
+    found = {r["doc_id"]: r["text"] for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found[12] == "line 12" and found[25] == "line 25\ncommon" and not any("footer" in t for t in found.values())
+
+
 # -- all ----------------------------------------------------------------------------------------------
 
 
