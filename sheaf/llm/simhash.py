@@ -172,16 +172,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id reachable over links of at most two differing bits, the row's own included.
     Null, empty and wordless texts have fingerprint zero, which links like any other. Rows with the same doc_id count
-    as nodes of their own fingerprints. A null doc_id is kept, and is never a component's id unless all are null.
+    as nodes of their own fingerprints. A null doc_id is kept, and its row links like any other; it is never a
+    component's id unless all are null.
     No fingerprint, link or component passes the driver; text is read once and never shuffled.
     """
     hashed = checkpoint(fingerprints(docs))
-    # A null id gets no part in representatives; -2**63 stands for fingerprints that only null ids have.
-    distinct = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = distinct.where("rep is not null")
-    shards = _shards(named)
+    # The nodes are the fingerprints themselves, as some have no id; a component's least id is taken afterwards.
+    distinct = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    shards = _shards(distinct.select("fp", F.col("fp").alias("rep")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = shards.repartition(n, "kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(_star_links, "a long, b long")
     roots = components(edges)
-    known = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = placed.join(named, "root").select("fp", "component_id")
     return hashed.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

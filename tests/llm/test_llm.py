@@ -82,6 +82,14 @@ def test_simhash_ties_and_nulls(spark):
     assert {r["component_id"] for r in found if r["doc_id"] is None} == {2, None}
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    prints = [(1, 0b11), (None, 0b1111), (2, 0b111111), (None, 0b11111111 << 40), (None, 0b111111 << 40), (3, -1), (None, -2), (4, 5 << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.selectExpr("doc_id", "cast(text as long) as fp"))
+    found = simhash.near_duplicates(spark.createDataFrame([(d, str(f)) for d, f in prints], SCHEMA)).collect()
+    want = [(1, 0b11, 1), (None, 0b1111, 1), (2, 0b111111, 1), (None, 0b11111111 << 40, None), (None, 0b111111 << 40, None), (3, -1, 3), (None, -2, 3), (4, 5 << 20, 4)]
+    assert sorted(map(repr, map(tuple, found))) == sorted(repr((d, f"{f & (1 << 64) - 1:016x}", c)) for d, f, c in want)
+
+
 def scattered(n, seed=1):
     rng = random.Random(seed)
     out = set()
