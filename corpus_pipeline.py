@@ -14,10 +14,10 @@ from sheaf.llm import bpe, decontaminate, linededup, quality, simhash
 from sheaf.llm.common import checkpoint, table
 
 
-def _without(docs: DataFrame, ids: DataFrame, limit: int = 500_000) -> DataFrame:
-    """docs less the rows of ids (doc_id); these are broadcast only when few."""
+def _without(docs: DataFrame, ids: DataFrame, by: str = "doc_id", limit: int = 500_000) -> DataFrame:
+    """docs less the rows of ids (doc_id, compared with docs' by); these are broadcast only when few."""
     gone = checkpoint(ids.select(F.col("doc_id").alias("__sheaf_id")).where("__sheaf_id is not null").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= limit else gone, docs["doc_id"] == F.col("__sheaf_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= limit else gone, docs[by] == F.col("__sheaf_id"), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    """One row of each group stays: one with the least id, or any where none has an id.
+
+    Rows are numbered in a written copy, as ids may repeat or be null; groups and removals go by these numbers.
+    """
+    rows = _written(docs.withColumn("__sheaf_row", F.monotonically_increasing_id()), "rows", spark.sparkContext)
+    grouped = simhash.near_duplicates(rows.select(F.col("__sheaf_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__sheaf_row"), "component_id")
+    ranked = checkpoint(grouped.join(rows.select("__sheaf_row", "doc_id"), "__sheaf_row"))
+    first = F.min_by("__sheaf_row", F.struct(F.col("doc_id").isNull(), "doc_id", "__sheaf_row"))
+    stay = ranked.groupBy("component_id").agg(first.alias("__sheaf_row")).select("__sheaf_row")
+    return _without(rows, ranked.join(stay, "__sheaf_row", "left_anti").select(F.col("__sheaf_row").alias("doc_id")), "__sheaf_row").drop("__sheaf_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

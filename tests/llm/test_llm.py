@@ -412,3 +412,13 @@ def test_pipeline(spark, docs):
         rows = list(kept.items())
     found = {r["doc_id"]: tuple(r)[1:] for r in pipeline.run(spark, SF).collect()}
     assert found == {d: brute.bpe(t) for d, t in rows}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "red green blue and yellow too"
+    rows = [(5, a), (5, a), (9, a), (None, a), (None, b), (None, b), (7, c), (None, c), (8, None), (8, "")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = pipeline.near_dedup(spark, frame, SF)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted((d or -1, t or "") for d, t in kept.collect()) == [(-1, b), (5, a), (7, c), (8, "")]
