@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.session import checkpoint, spread
 
-__all__ = ["arrow_schema", "blank_words", "bucket_of", "checkpoint", "map_batches", "spread", "table", "texts_as_bytes"]
+__all__ = ["arrow_schema", "blank_words", "bucket_of", "checkpoint", "join_groups", "map_batches", "spread", "table", "texts_as_bytes"]
 
 #: Words are split at these six bytes only (space, tab, LF, VT, FF, CR).
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -56,3 +56,19 @@ def blank_words(text: Column) -> Column:
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n: the folds of the learned operators."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], limit: int, weight: str = "weight", how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to groups, a row for each key, without a hot task; weight: about how many rows the key has.
+
+    Up to limit groups are broadcast. Of more, those with over a limit-th of the weight are, which are fewer than limit;
+    the rows of the others are dealt by key, each key having at most that share. rows and groups should be cheap to read twice.
+    """
+    bare = groups.drop(weight)
+    if groups.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(bare), on, how)
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    heavy = groups.where(F.col(weight).cast("decimal(38,0)") * limit > F.lit(total).cast("decimal(38,0)")).drop(weight)
+    keys = [on] if isinstance(on, str) else on
+    others = rows.join(F.broadcast(heavy.select(*keys)), on, "left_anti").join(bare, on, how)
+    return rows.join(F.broadcast(heavy), on).unionByName(others)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import checkpoint, map_batches, texts_as_bytes
+from sheaf.llm.common import checkpoint, join_groups, map_batches, texts_as_bytes
 from sheaf.llm.components import components
 
 RADIUS = 2
@@ -27,6 +27,8 @@ RADIUS = 2
 SHARD = 2048
 #: Shingle hashes counted at once: bounds the memory for a very long text.
 CHUNK = 1 << 16
+#: The most frequent fingerprints, whose rows get their component by a broadcast (24 bytes each) when there are more.
+BROADCAST_PRINTS = 200_000
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -98,15 +100,20 @@ class BKTree:
 
 def linked(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of some distinct values, the least place that it is linked to, through others or directly."""
-    label = np.arange(len(values))
-    if len(values) < 2:
-        return label
-    for node, hits in BKTree(values).search(values, radius):
-        if len(hits) > 1:
-            found = np.unique(label[np.append(hits, node)])
-            if len(found) > 1:
-                label[np.isin(label, found)] = found[0]
-    return label
+    parent = list(range(len(values)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    if len(values) > 1:
+        for node, hits in BKTree(values).search(values, radius):
+            for hit in hits.tolist():
+                low, high = sorted((root(node), root(hit)))
+                parent[high] = low
+    return np.array([root(i) for i in range(len(values))], np.int64)
 
 
 def _shards(distinct: DataFrame) -> DataFrame:
@@ -174,16 +181,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null, empty and wordless texts have fingerprint zero, which links like any other. Rows with the same doc_id count
     as nodes of their own fingerprints. A null doc_id is kept, and its row links like any other; it is never a
     component's id unless all are null.
-    No fingerprint, link or component passes the driver; text is read once and never shuffled.
+    No fingerprint, link or component passes the driver; text is read once and never shuffled. A long text takes memory in
+    proportion to itself; other columns are ignored; an empty table gives none.
     """
     hashed = checkpoint(fingerprints(docs))
     # The nodes are the fingerprints themselves, as some have no id; a component's least id is taken afterwards.
-    distinct = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")))
     shards = _shards(distinct.select("fp", F.col("fp").alias("rep")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = shards.repartition(n, "kind", "key").sortWithinPartitions("kind", "key", "fp").mapInArrow(_star_links, "a long, b long")
     roots = components(edges)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "weight", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = placed.join(named, "root").select("fp", "component_id")
-    return hashed.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Read more than once by join_groups where there are many. Rows of one text share a fingerprint, which may be a hot key.
+    known = checkpoint(placed.join(named, "root").select("fp", "component_id", "weight"))
+    return join_groups(hashed, known, "fp", BROADCAST_PRINTS, how="left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
