@@ -22,8 +22,9 @@ from sheaf.llm.common import map_batches
 
 #: Pieces of at most this many bytes are merged directly; longer ones are halved.
 LEAF_BYTES = 24
-#: Encodings of pieces and seams kept by one Python worker; the memory bound of the operator.
-CACHED_PIECES = 150_000
+#: Encodings of pieces and seams kept by one Python worker, and the longest piece of which one is kept (in characters):
+#: together the memory bound of the operator.
+CACHED_PIECES, CACHED_LENGTH = 150_000, 64
 
 #: The rank of what has none.
 _NONE = 1 << 60
@@ -44,7 +45,7 @@ class ByteBPE:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.encode_piece = lru_cache(CACHED_PIECES)(self._encode_piece)
+        self.kept = lru_cache(CACHED_PIECES)(self._encode_piece)
         self.stable = lru_cache(CACHED_PIECES // 4)(self._stable)
 
     # -- the leaves -----------------------------------------------------------------------------------
@@ -114,6 +115,9 @@ class ByteBPE:
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        return self.kept(piece) if len(piece) <= CACHED_LENGTH else self._encode_piece(piece)
+
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
@@ -151,7 +155,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = Fals
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids and decoded (binary).
     A null text counts as empty: no tokens, and the digests of no bytes. A row in gives a row out, so repeated
-    rows repeat; other columns are ignored. Long texts take memory in proportion to the one text. The rank
+    rows repeat, and an empty table gives none; other columns are ignored. Long texts take memory in proportion to the one text. The rank
     file is of fixed size (under 1 MB) and read by the driver; its content is broadcast.
     """
     ranks = load_ranks(ranks_path)
