@@ -47,7 +47,8 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
     Returns pair_id, n_prompt_turns, prompt, chosen_text, rejected_text, chosen_segments, rejected_segments and status:
     `identical` if nothing differs, `no_prompt` if nothing is shared, else `ok`. The segments of a completion join to its
-    text; the prompt is never learned. A null conversation has no turns. A row in gives a row out.
+    text; the prompt is never learned. A null conversation has no turns. A row in gives a row out, so repeated rows repeat
+    and an empty table gives none; other columns are ignored, and texts of any length are rendered whole.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
     turns = lambda c: F.transform(F.filter(F.coalesce(F.col(c), none), lambda t: t.isNotNull()), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -74,11 +75,13 @@ def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs made from (conv_id, turn, role, text): chosen is the conversation; rejected the same up to its last assistant turn, whose text is that of the next conversation's (conv_id + 1) last one.
 
     Without such a next conversation the rejected one ends before that turn; without an assistant turn both are the same.
+    The largest conv_id has no next, and a null one is no other's next. An empty table gives no pair. Other columns are
+    ignored; texts of any length are taken whole, but a conversation must fit a row.
     """
     turns = gather_turns(conversations)
     last = lambda c: F.array_max(F.transform(c, lambda t, i: F.when(t["role"] == LEARNED_ROLE, i)))
     known = turns.withColumn("at", last(F.col("turns")))
-    answers = known.where("at is not null").select((F.col("conv_id") - 1).alias("next_of"), F.get("turns", F.col("at"))["text"].alias("other"), F.lit(True).alias("has"))
+    answers = known.where("at is not null").select(F.try_subtract("conv_id", F.lit(1).cast("long")).alias("next_of"), F.get("turns", F.col("at"))["text"].alias("other"), F.lit(True).alias("has"))
     joined = known.join(answers, known["conv_id"] == answers["next_of"], "left")
     before = F.slice("turns", F.lit(1), F.col("at"))
     swapped = F.concat(before, F.array(F.struct(F.lit(LEARNED_ROLE).alias("role"), F.col("other").alias("text"))))
