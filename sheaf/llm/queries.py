@@ -28,6 +28,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def decontaminate_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
     return resolved.select("record_id", "url_key", "resolved_id", "outcome", warc.header_lines(F.col("headers")).alias("headers"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "decontaminate_proximity": decontaminate_proximity,
 }
 
 _RENDER = "'<|' || replace(coalesce(t.role, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)"
@@ -122,7 +127,7 @@ ORACLES: dict[str, str] = {
         bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM lines),
         totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
         bad AS (SELECT x.source, x.b FROM (SELECT source, b, count(DISTINCT page) AS n FROM bare WHERE b <> '' GROUP BY source, b) x
-                JOIN totals t ON x.source IS NOT DISTINCT FROM t.source WHERE n >= {linededup.MIN_PAGES} AND n > host_pages * CAST({linededup.MAX_RATIO} AS DOUBLE)),
+                JOIN totals t ON x.source IS NOT DISTINCT FROM t.source WHERE n > 1 AND n > host_pages * CAST({linededup.MAX_RATIO} AS DOUBLE)),
         judged AS (SELECT l.page, l.line, l.i, bad.b IS NOT NULL AS dropped FROM bare l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.b = bad.b),
         cleaned AS (SELECT page, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped) AS text, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM judged GROUP BY page)
         SELECT p.doc_id, p.source, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
