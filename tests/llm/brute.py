@@ -79,7 +79,46 @@ def contamination(docs, items, window=10):
                 if (p := tuple(w[i : i + n])) in phrases:
                     hit |= set(range(i, i + n))
                     found |= phrases[p]
-        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found))).encode()), bool(hit)))
+        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(str(x) for x in found if x is not None)).encode()), bool(hit)))
+    return out
+
+
+def proximity(docs, items, window=10, span=20):
+    """{(place of the document, item): number of places}."""
+    phrases = {}
+    for item, text in items:
+        w = test_words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            phrases.setdefault(tuple(w[i : i + window]), set()).add(item)
+    held = {}
+    for p in phrases:
+        for w in set(p):
+            held[w] = held.get(w, 0) + 1
+    out = {}
+    for n, (_, text) in enumerate(docs):
+        w = test_words(text)
+        for p, owners in phrases.items():
+            key = min(p, key=lambda x: (held[x], x.encode()))
+            for i, x in enumerate(w):
+                if x == key and set(p) <= set(w[max(0, i - span) : i + span + 1]):
+                    for item in owners:
+                        out.setdefault((n, item), set()).add(i)
+    return {k: len(v) for k, v in out.items()}
+
+
+def line_dedup(rows, ratio=0.05):
+    """rows: (host, text) -> [(text, lines, dropped)]."""
+    pages, holding = {}, {}
+    for host, text in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for line in {x.strip("\x20\x09\x0a\x0b\x0c\x0d") for x in (text or "").split("\n")} - {""}:
+            holding[host, line] = holding.get((host, line), 0) + 1
+    bad = {k for k, n in holding.items() if n > 1 and n > ratio * pages[k[0]]}
+    out = []
+    for host, text in rows:
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if (host, x.strip("\x20\x09\x0a\x0b\x0c\x0d")) not in bad]
+        out.append((None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
 

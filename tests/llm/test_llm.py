@@ -82,6 +82,21 @@ def test_simhash_ties_and_nulls(spark):
     assert {r["component_id"] for r in found if r["doc_id"] is None} == {2, None}
 
 
+@pytest.mark.parametrize("limit", [0, 2])
+def test_simhash_of_more_prints_than_are_broadcast(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_PRINTS", limit)
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, "same text here") for i in range(50)], SCHEMA))
+    assert {r["doc_id"]: tuple(r)[1:] for r in simhash.near_duplicates(frame).collect()} == brute.simhash_components(pairs(frame))
+
+
+def test_linking_a_full_shard_is_fast():
+    import time
+
+    values = (np.arange(1 << 14, dtype=np.uint64) << np.uint64(3)) | np.uint64(1 << 40)
+    began = time.perf_counter()
+    assert set(simhash.linked(values).tolist()) == {0} and time.perf_counter() - began < 30
+
+
 def test_simhash_links_through_rows_without_id(spark, monkeypatch):
     prints = [(1, 0b11), (None, 0b1111), (2, 0b111111), (None, 0b11111111 << 40), (None, 0b111111 << 40), (3, -1), (None, -2), (4, 5 << 20)]
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.selectExpr("doc_id", "cast(text as long) as fp"))
@@ -171,11 +186,44 @@ def test_decontamination_of_odd_items(spark, odd):
     assert decontaminate.contamination(odd.limit(0), frame).count() == 0
 
 
-def test_proximity(spark):
-    q = decontaminate.Queries([(1, b"red blue"), (2, b"blue green red")])
-    frame = spark.createDataFrame([(1, "red x x blue"), (2, "red " + "x " * 20 + "blue"), (3, "green"), (4, "blue red y green")], SCHEMA)
-    found = decontaminate.search_proximity(decontaminate.build_index(frame, q.terms), q, 4).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (4, 1), (4, 2)}
+def test_decontamination_with_null_item_ids(spark):
+    rows = [(1, "red green blue"), (2, "one two three"), (None, "one two three red green blue"), (4, "x")]
+    items = [(None, "red green blue"), (7, "green blue"), (None, "one two three"), (3, "two three")]
+    docs, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_WORDS, 2):
+        found = decontaminate.contamination(docs, benchmark, block_words=block)
+        assert {(r["doc_id"], tuple(r["items"])) for r in found.collect()} == {(1, (7, None)), (2, (3, None)), (None, (3, 7, None)), (4, ())}
+        assert sorted(map(repr, map(tuple, decontaminate.summary(found).collect()))) == sorted(map(repr, brute.contamination(rows, items)))
+
+
+def test_index_holds_all_words(spark):
+    rows = [(1, "b a b"), (None, None), (2, "c " * 5 + "a"), (3, "é A"), (3, "")]
+    index = decontaminate.stored_index(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    number = {w: i for i, w in enumerate([b"a", b"b", b"c", "é".encode()])}
+    found = {}
+    for r in index:
+        segment = decontaminate.Segment(r.asDict(), number)
+        for term, at in segment.lists.items():
+            for p in at.tolist():
+                d = int(segment.documents(np.array([p]))[0])
+                found.setdefault((segment.doc_ids[d], term), []).append(p - int(segment.base[d]))
+    assert found == {(1, 0): [1], (1, 1): [0, 2], (2, 2): [0, 1, 2, 3, 4], (2, 0): [5], (3, 3): [0], (3, 0): [1]}
+
+
+def test_proximity(spark, docs):
+    items = [(1, "red blue"), (2, "blue green red"), (None, "red")]
+    rows = [(1, "red x x blue"), (2, "red " + "x " * 20 + "blue"), (3, "green"), (4, "blue red y green"), (None, None), (4, "red red")]
+    frame, benchmark = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.near_items(frame, benchmark, span=4).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["n_places"]) for r in found) == sorted((rows[n][0], item or 0, k) for (n, item), k in brute.proximity(rows, items, span=4).items())
+    assert decontaminate.near_items(frame, benchmark.limit(0)).count() == 0
+    texts, tests = pairs(docs), [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    moved = tests[0][1].split()
+    texts += [(901, " ".join(moved[5::-1] + ["and"] + moved[6:])), (902, None)]
+    found = decontaminate.near_items(spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(tests, "item_id long, text string")).collect()
+    want = brute.proximity(texts, tests)
+    assert any(texts[n][0] == 901 for n, _ in want)
+    assert sorted((r["doc_id"], r["item_id"], r["n_places"]) for r in found) == sorted((texts[n][0], item, k) for (n, item), k in want.items())
 
 
 # -- 5 ------------------------------------------------------------------------------------------------
@@ -362,14 +410,23 @@ def test_inverse(spark):
 # -- 10 -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_LINES, 0])
-def test_line_dedup(spark, monkeypatch, limit):
-    monkeypatch.setattr(linededup, "BROADCAST_LINES", limit)
-    rows = [(i, f"menu\nline {i}\n menu \n\nmenu", "h") for i in range(20)] + [(100, "menu\nonce", "other"), (101, None, None), (102, "", "h"), (103, "menu", "h")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("mine"))
-    found = {r["doc_id"]: r for r in linededup.drop_boilerplate(frame).collect()}
-    assert found[3]["text"] == "line 3\n" and found[3]["n_dropped"] == 3 and found[3]["n_lines"] == "mine"
-    assert found[100]["text"] == "menu\nonce" and found[101]["text"] is None and found[102]["text"] == "" and found[103]["text"] == ""
+@pytest.fixture(params=[linededup.BROADCAST_LINES, 3])
+def line_limit(request, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", request.param)
+    monkeypatch.setattr(linededup, "BROADCAST_HOSTS", min(request.param, 1000))
+
+
+def test_line_dedup(spark, docs, line_limit):
+    rows = [("h", f"menu\nline {i}\n menu \n\nmenu") for i in range(20)] + [("other", "menu\nonce"), (None, None), ("h", ""), ("h", "menu"), (None, "a\nb"), (None, "b\r\nc"), ("", "b"), ("few", "same\nx"), ("few", "same\ny")]
+    rows += [("h", "menu\nline 3")] * 2 + [("big", "\n".join(f"l{i % 700}" for i in range(9000))), ("big", "l5 \nown")]
+    rows += [(r["source"], r["text"]) for r in docs.collect()]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, text string").withColumn("n_lines", F.lit("mine")).withColumn("host", F.lit(1)).withColumn("i", F.lit(2))
+    found = {r["doc_id"]: r for r in linededup.drop_boilerplate(frame.repartition(5)).collect()}
+    want = brute.line_dedup(rows)
+    assert {d: (r["text"], r["n_dropped"]) for d, r in found.items()} == {i: (t, n) for i, (t, _, n) in enumerate(want)}
+    assert all(r["n_lines"] == "mine" and r["host"] == 1 and r["i"] == 2 for r in found.values()) and len(found) == len(rows)
+    assert found[4]["text"] == "line 4\n" and found[20]["text"] == "menu\nonce"
+    assert linededup.drop_boilerplate(frame.limit(0)).count() == 0
 
 
 def test_line_dedup_drops_a_line_of_few_pages(spark):
@@ -378,6 +435,31 @@ def test_line_dedup_drops_a_line_of_few_pages(spark):
     assert found[12] == "line 12" and found[25] == "line 25\ncommon" and not any("footer" in t for t in found.values())
 
 
+def test_line_dedup_is_linear(spark):
+    import time
+
+    def took(n):
+        frame = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(n)), "h") for i in range(2)], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        assert [r["n_dropped"] for r in linededup.drop_boilerplate(frame).collect()] == [n, n]
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(80_000) < 15
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 100])
+def test_join_groups(spark, limit):
+    from sheaf.llm.common import join_groups
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(90)], "k long, i long")
+    groups = spark.createDataFrame([(k, k * k, 30 if k == 0 else 9) for k in range(5)], "k long, v long, weight long")
+    want = sorted((i % 7 if i % 3 else 0, i) for i in range(90))
+    assert sorted(map(tuple, join_groups(rows, groups, "k", limit).collect())) == [(k, i, k * k) for k, i in want if k < 5]
+    assert sorted((r["k"], r["i"], r["v"]) for r in join_groups(rows, groups, "k", limit, how="left").where("v is not null").collect()) == [(k, i, k * k) for k, i in want if k < 5]
+    assert join_groups(rows, groups, "k", limit, how="left").count() == 90
+
+
 # -- all ----------------------------------------------------------------------------------------------
 
 
