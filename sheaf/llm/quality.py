@@ -1,55 +1,90 @@
 """Quality rules: counts over words and lines, and robust multivariate outliers. DataFrame functions only.
 
-The verdict: in each group of (lang, source), a minimum covariance determinant is sought over five transformed
-statistics by concentration steps. Each step takes the mean and covariance of the HALF of the rows that lay nearest
-under the estimate before, starting from medians and median absolute deviations. Rows beyond CUTOFF are rejected.
-A group too small for that is judged by the estimate of its language's rows, or of all rows.
+The verdict: a minimum covariance determinant estimate of five transformed statistics in each group of (lang, source).
+From several deterministic starts (medians with the scatter of medians alone, of squashed and of spatial signs),
+concentration steps take the mean and covariance of the HALF of the group's rows that lie nearest; the start that leads
+to the least determinant is carried on. The covariance is made consistent for normal rows and regularised by a target
+(FLOOR), as most rows lack some of what is counted. Rows beyond the chi-square quantile of TAIL are rejected. A group too
+small for that is judged by the estimate of its language's rows, or of all rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sheaf.llm.common import blank_words, checkpoint, spread
+from sheaf.llm.common import blank_words, checkpoint, join_groups, spread
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Share of a group's rows that an estimate is made of.
 HALF = 0.75
-STEPS = 3
+#: Concentration steps of all starts, and of the best afterwards.
+FIRST_STEPS, MORE_STEPS = 2, 4
+#: A concentration step takes the rows up to the nearest HALF's last, and those that tie with it in a so-manieth of a doubling.
+BINS = 64
 #: Groups with fewer rows than this are judged by their language's estimate; languages with fewer, by that of all rows.
 MIN_GROUP = 50
-#: Squared distance above which a row is rejected; the chi-square quantile for five statistics at one in 10**12 is 65.
-CUTOFF = 75.0
-#: Least standard deviation of each statistic: of what most rows lack, the spread is zero, and any trace were an outlier.
+#: Share of rows of a normal distribution that are beyond the cutoff: about one in a corpus of 10**10 documents.
+TAIL = 1e-10
+#: Standard deviations of the target: of what most rows lack, the spread is zero, and any trace were an outlier.
 FLOOR = (0.4, 0.35, 0.35, 0.35, 0.6)
-#: Groups up to which their estimates (30 numbers each) are broadcast; beyond, they are joined by a shuffle.
+#: Groups up to which their estimates (31 numbers each) are broadcast; of more, the largest are.
 BROADCAST_GROUPS = 20_000
-#: Rejected ids up to which they are broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Rejected texts up to which their digests (16 bytes each) are broadcast.
+BROADCAST_TEXTS = 500_000
+
+
+def chi_square(x: float, k: int) -> float:
+    """Share of the chi-square distribution of an odd number of degrees of freedom up to x."""
+    below = math.erf(math.sqrt(x / 2))
+    for i in range(1, k, 2):
+        below -= (x / 2) ** (i / 2) * math.exp(-x / 2) / math.gamma(i / 2 + 1)
+    return below
+
+
+def chi_square_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, k) < share else (low, middle)
+    return low
+
+
+#: Squared distance above which a row is rejected.
+CUTOFF = chi_square_quantile(1 - TAIL, 5)
+#: Of normal rows, the covariance of the nearest HALF is this much too small.
+CONSISTENCY = HALF / chi_square(chi_square_quantile(HALF, 5), 7)
 _NAMES = ["x0", "x1", "x2", "x3", "x4"]
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each row; one pass, nothing is shuffled."""
+def _digest() -> Column:
+    """128 bits of all that a verdict depends on."""
+    of = (F.col("text"), F.lit(0), F.col("lang").isNull(), F.col("lang"), F.lit(0), F.col("source").isNull(), F.col("source"))
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b"))
+
+
+def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, lang, source, digest, the carried columns and the counts of each row; one pass, nothing is shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_words = docs.select("doc_id", "lang", "source", text.alias("t"), blank_words(F.col("text")).alias("w"))
+    with_words = docs.select("doc_id", "lang", "source", _digest().alias("digest"), *carried, text.alias("t"), blank_words(F.col("text")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = F.col("w")
     hashes = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.lit([]).cast("array<long>"))
+    known = with_words.columns[:-2]
     counted = with_words.select(
-        "doc_id", "lang", "source",
+        *known,
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.translate("t", "\x20\x09\x0a\x0b\x0c\x0d", "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"), hashes.alias("h"),
     )
-    halfway = counted.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", F.size(F.array_distinct("h")).alias("different"))
+    halfway = counted.select(*known, "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "h", F.size(F.array_distinct("h")).alias("different"))
     # Only texts that repeat a window are looked at further: windows sorted by hash, then the places of those with an equal neighbour.
     placed = F.when(F.col("different") < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s")
     sorted_ = halfway.select("*", placed).drop("h", "different")
@@ -72,9 +107,10 @@ def _vector() -> list[Column]:
     return [F.log1p(F.col("n_words").cast("double")), F.col("word_chars") / words, share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")]
 
 
-def _inverse(flat: Column) -> Column:
-    """The inverse of a symmetric positive matrix, row by row as an array of 25, by sweeping each pivot."""
-    def sweep(a: Column, k: Column) -> Column:
+def _swept(flat: Column) -> Column:
+    """The inverse q (an array of 25) of a symmetric positive matrix and the logarithm of its determinant, by sweeping each pivot."""
+    def sweep(held: Column, k: Column) -> Column:
+        a = held["q"]
         pivot = F.get(a, k * 6)
 
         def cell(x: Column, p: Column) -> Column:
@@ -82,57 +118,82 @@ def _inverse(flat: Column) -> Column:
             inner = x - F.get(a, i * 5 + k) * F.get(a, k * 5 + j) / pivot
             return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), x / pivot).otherwise(inner)
 
-        return F.transform(a, cell)
+        return F.struct(F.transform(a, cell).alias("q"), (held["log_det"] + F.ln(pivot)).alias("log_det"))
 
-    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(4)), flat, sweep), lambda x: -x)
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.struct(flat.alias("q"), F.lit(0.0).alias("log_det")), sweep)
+    return F.struct(F.transform(whole["q"], lambda x: -x).alias("q"), whole["log_det"].alias("log_det"))
 
 
-def _estimate(moments: DataFrame) -> DataFrame:
-    """g, m (means) and q (inverse covariance) of g, m0..m4 and c00..c44; FLOOR squared is added to each variance."""
-    cell = lambda i, j: F.col(f"c{max(i, j)}{min(i, j)}") + (FLOOR[i] ** 2 if i == j else 0.0)
-    return moments.select("g", F.array(*(F.col(f"m{i}") for i in range(5))).alias("m"), _inverse(F.array(*(cell(i, j) for i in range(5) for j in range(5)))).alias("q"))
+def _estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, weight, m (means), q (inverse scatter) and log_det, of keys, weight, m0..m4 and s00..s44 (scatter, target included)."""
+    scatter = F.array(*(F.col(f"s{max(i, j)}{min(i, j)}") for i in range(5) for j in range(5)))
+    whole = moments.select(*keys, "weight", F.array(*(F.col(f"m{i}") for i in range(5))).alias("m"), _swept(scatter).alias("e"))
+    return whole.select(*keys, "weight", "m", "e.q", "e.log_det")
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with the squared distance d2 under the estimate of their g; null without one."""
+def _distance() -> Column:
     away = [F.col(x) - F.get("m", i) for i, x in enumerate(_NAMES)]
-    terms = [(1.0 if i == j else 2.0) * F.get("q", 5 * i + j) * away[i] * away[j] for i, j in _PAIRS]
-    return rows.join(estimate, "g", "left").select(*(F.col(c) for c in rows.columns), reduce(lambda a, b: a + b, terms).alias("d2"))
-
-
-def _per_group(few: bool, groups: DataFrame) -> DataFrame:
-    """A table of a row for each group, to be joined to their rows: by a broadcast if they are few, so that no group is one task."""
-    return F.broadcast(groups) if few else groups
-
+    return reduce(lambda a, b: a + b, ((1.0 if i == j else 2.0) * F.get("q", 5 * i + j) * away[i] * away[j] for i, j in _PAIRS))
 
-def _nearest(scored: DataFrame, few: bool) -> DataFrame:
-    """Each group's HALF of rows of least distance, up to a 64th of a doubling: counts by bins, then a running count over the bins."""
-    bin_of = F.floor(64 * F.log2(F.col("d2") + 1)).alias("bin")
-    counts = scored.groupBy("g", bin_of).agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("g").orderBy("bin")
-    before = F.coalesce(F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy("g"))
-    limits = counts.select("g", "bin", before.alias("before"), total.alias("total")).where(F.col("before") < HALF * F.col("total")).groupBy("g").agg(F.max("bin").alias("limit"))
-    return scored.withColumn("bin", bin_of).join(_per_group(few, limits), "g").where(F.col("bin") <= F.col("limit"))
 
+def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """A concentration step of each (g, start) of now: sums by bins of distance, then those of the nearest bins.
 
-def _moments(rows: DataFrame) -> DataFrame:
-    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(_NAMES)]
-    products = [F.coalesce(F.covar_pop(_NAMES[i], _NAMES[j]), F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return rows.groupBy("g").agg(*means, *products)
+    One pass over rows, whose sums are made before anything is shuffled; a group has a bin for each so-manieth of a
+    doubling at most, however many rows.
+    """
+    scored = join_groups(rows, now, "g", 3 * BROADCAST_GROUPS)
+    away = [(F.col(x) - F.get("m", i)).alias(f"y{i}") for i, x in enumerate(_NAMES)]
+    binned = scored.select("g", "start", "m", F.floor(BINS * F.log2(_distance() + 1)).alias("bin"), *away)
+    sums = [F.sum(f"y{i}").alias(f"t{i}") for i in range(5)] + [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"t{i}{j}") for i, j in _PAIRS]
+    per_bin = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.first("m").alias("m"), *sums)
+    of = Window.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = per_bin.select("*", before.alias("before"), F.sum("n").over(of).alias("weight")).where(F.col("before") < HALF * F.col("weight"))
+    names = [c for c in per_bin.columns if c[0] == "t"]
+    total = near.groupBy("g", "start").agg(F.first("weight").alias("weight"), F.first("m").alias("m"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+    shift = [F.col(f"t{i}") / F.col("n") for i in range(5)]
+    scatter = [(CONSISTENCY * (F.col(f"t{i}{j}") / F.col("n") - shift[i] * shift[j]) + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return _estimate(total.select("g", "start", "weight", *((F.get("m", i) + shift[i]).alias(f"m{i}") for i in range(5)), *scatter), ["g", "start"])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates of each (g, start): medians, and scatters of medians' deviations with three sorts of correlation."""
+    medians = checkpoint(rows.groupBy("g").agg(F.count("*").alias("weight"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))))
+    away = join_groups(rows, medians, "g", BROADCAST_GROUPS).groupBy("g").agg(F.count("*").alias("weight"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
+    spreads = checkpoint(away.select("g", "weight", *(f"m{i}" for i in range(5)), *(F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2).alias(f"d{i}") for i in range(5))))
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(_NAMES)]
+    norm = F.sqrt(reduce(lambda a, b: a + b, (c * c for c in z)))
+    squashed, signs = [F.tanh(c) for c in z], [c / F.when(norm > 0, norm).otherwise(1.0) for c in z]
+    both = join_groups(rows, spreads, "g", BROADCAST_GROUPS).select("g", *(c.alias(f"u{i}") for i, c in enumerate(squashed)), *(c.alias(f"v{i}") for i, c in enumerate(signs)))
+    products = both.groupBy("g").agg(*(F.avg(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "uv" for i, j in _PAIRS), *(F.avg(f"u{i}").alias(f"u{i}") for i in range(5)))
+    u = lambda i, j: F.col(f"u{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")
+    v = lambda i, j: F.col(f"v{i}{j}")
+
+    def correlation(c, i, j) -> Column:
+        scale = F.sqrt(c(i, i) * c(j, j))
+        return F.lit(1.0) if i == j else F.when(scale > 1e-12, c(i, j) / scale).otherwise(0.0) * 0.99  # inside of -1 and 1: the scatter can be inverted
+
+    found = spreads.join(products, "g") if spreads.limit(BROADCAST_GROUPS + 1).count() > BROADCAST_GROUPS else spreads.join(F.broadcast(products), "g")
+    kinds = [lambda i, j: F.lit(float(i == j)), lambda i, j: correlation(u, i, j), lambda i, j: correlation(v, i, j)]
+    scatters = F.array(*(F.struct(F.lit(k).alias("start"), *((kind(i, j) * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}{j}") for i, j in _PAIRS)) for k, kind in enumerate(kinds)))
+    each = found.select("g", "weight", *(f"m{i}" for i in range(5)), F.explode(scatters).alias("s")).select("g", "weight", *(f"m{i}" for i in range(5)), "s.*")
+    return _estimate(each, ["g", "start"])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Location and factored scatter of each g of (g, x0..x4)."""
-    medians = checkpoint(rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))))
-    few = medians.count() <= BROADCAST_GROUPS
-    away = rows.join(_per_group(few, medians), "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
-    start = away.select("g", *(f"m{i}" for i in range(5)), *((F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
-    now = checkpoint(_estimate(start))
-    for _ in range(STEPS):
-        scored = _with_distance(rows, _per_group(few, now)).where("d2 is not null")
-        now = checkpoint(_estimate(_moments(_nearest(scored, few))))
-    return now
+    """g, weight (rows), m (location) and q (inverse scatter) of each g of (g, x0..x4), by minimum covariance determinant.
+
+    Of starts with the same determinant, the first is carried on. Each step is checkpointed; rows are read from what is.
+    """
+    now = checkpoint(_starts(rows))
+    for _ in range(FIRST_STEPS):
+        now = checkpoint(_concentrated(rows, now))
+    best = F.min_by(F.struct("weight", "m", "q", "log_det"), F.struct(F.round("log_det", 9), "start"))
+    now = checkpoint(now.groupBy("g").agg(best.alias("b")).select("g", F.lit(0).alias("start"), "b.*"))
+    for _ in range(MORE_STEPS):
+        now = checkpoint(_concentrated(rows, now))
+    return now.select("g", "weight", "m", "q")
 
 
 def _pools(rows: DataFrame) -> DataFrame:
@@ -141,16 +202,36 @@ def _pools(rows: DataFrame) -> DataFrame:
     A group's estimate is its own, its language's (l) or that of all rows: the first with MIN_GROUP rows to learn from,
     or the last. Language and corpus are fitted on all their rows, those of large groups too, where a group needs them.
     """
-    sizes = checkpoint(rows.groupBy("g", "l").agg(F.count_if(~F.col("base_failed")).alias("n")))
-    languages = checkpoint(sizes.groupBy("l").agg(F.sum("n").alias("of_l"), F.min("n").alias("least")))
+    sizes = checkpoint(rows.groupBy("g", "l").agg(F.count_if(~F.col("base_failed")).alias("n"), F.count("*").alias("weight")))
+    languages = checkpoint(sizes.groupBy("l").agg(F.sum("n").alias("of_l"), F.min("n").alias("least"), F.count("*").alias("groups")))
     wide = (F.col("least") < MIN_GROUP) & (F.col("of_l") >= MIN_GROUP)
     rest = not languages.where(F.col("of_l") < MIN_GROUP).isEmpty()
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.cast("long").alias("k"))
     own, language, corpus = key(0, F.col("g")), key(1, F.col("l")), key(2, F.lit(0))
     fits = F.filter(F.array(F.when(F.col("n") >= MIN_GROUP, own), F.when(wide, language), F.when(F.lit(rest), corpus)), lambda x: x.isNotNull())
     used = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("of_l") >= MIN_GROUP, language).otherwise(corpus)
-    few = languages.count() <= BROADCAST_GROUPS
-    return checkpoint(sizes.join(_per_group(few, languages), "l").select("g", used.alias("used"), fits.alias("fits")))
+    return checkpoint(join_groups(sizes, languages, "l", BROADCAST_GROUPS, weight="groups").select("g", "weight", used.alias("used"), fits.alias("fits")))
+
+
+def _rows(docs: DataFrame, *carried: Column) -> DataFrame:
+    """statistics() with base_failed, the keys of the row's group (g) and language (l), and the vector x0..x4."""
+    language = F.xxhash64("lang", F.col("lang").isNull())
+    group = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
+    return statistics(docs, *carried).select("*", base_failed().alias("base_failed"), group.alias("g"), language.alias("l"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True)))
+
+
+def _judges(rows: DataFrame) -> DataFrame:
+    """g, weight, m and q: the estimate that judges each group of _rows()."""
+    pools = _pools(rows)
+    passed = join_groups(rows.where(~F.col("base_failed")), pools, "g", BROADCAST_GROUPS)
+    estimate = estimates(passed.select(F.explode("fits").alias("g"), *_NAMES)).withColumnsRenamed({"g": "used", "weight": "learned"})
+    return checkpoint(join_groups(pools, estimate, "used", BROADCAST_GROUPS, weight="learned").select("g", "weight", "m", "q"))
+
+
+def _judged(rows: DataFrame, judges: DataFrame) -> DataFrame:
+    """rows with d2 and kept."""
+    scored = join_groups(rows, judges, "g", BROADCAST_GROUPS, how="left").select(*(F.col(c) for c in rows.columns), _distance().alias("d2"))
+    return scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False)))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -159,24 +240,24 @@ def verdicts(docs: DataFrame) -> DataFrame:
     base_failed and d2 > CUTOFF reject. Null text has no words, and so fails. Null lang and source are values of their
     own. The fit takes the rows that did not fail, all of them; groups of fewer than MIN_GROUP of these are judged by
     their language's estimate, and languages of fewer by that of all rows. So d2 is null only if all rows failed.
-    Repeated rows count as often as they stand there.
+    Repeated rows count as often as they stand there; an empty table gives none; other columns are ignored. A long text
+    takes memory in proportion to itself.
     """
-    language = F.xxhash64("lang", F.col("lang").isNull())
-    group = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
-    counted = statistics(spread(docs))
-    rows = checkpoint(counted.select("*", base_failed().alias("base_failed"), group.alias("g"), language.alias("l"), *(v.alias(x) for v, x in zip(_vector(), _NAMES, strict=True))))
-    pools = _pools(rows)
-    few = pools.count() <= BROADCAST_GROUPS
-    passed = rows.where(~F.col("base_failed")).join(_per_group(few, pools), "g")
-    estimate = estimates(passed.select(F.explode("fits").alias("g"), *_NAMES))
-    named = _per_group(estimate.count() <= BROADCAST_GROUPS, estimate.withColumnRenamed("g", "used"))
-    per_group = pools.join(named, "used").select("g", "m", "q")
-    scored = _with_distance(rows, _per_group(few, per_group))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False))).alias("kept"), "d2")
+    rows = checkpoint(_rows(spread(docs)))
+    return _judged(rows, _judges(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows of rejected ids. A doc_id is rejected if a row of it is; a null one never."""
-    bad = checkpoint(verdicts(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__sheaf_id")).distinct())
-    few = bad.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col("__sheaf_id"), "left_anti")
+    """docs without the rows that verdicts() rejects; ids play no part, so they may repeat or be null.
+
+    What was rejected is known by digests of (text, lang, source), which are broadcast while they are few. Of more, each
+    row is counted anew where it is, and judged by its group's estimate; no text is shuffled either way.
+    """
+    rows = checkpoint(_rows(spread(docs)))
+    judges = _judges(rows)
+    bad = checkpoint(_judged(rows, judges).where("not kept").select("digest").distinct())
+    if bad.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        named = F.broadcast(bad.withColumnRenamed("digest", "__sheaf_digest"))
+        return docs.withColumn("__sheaf_own", _digest()).join(named, F.col("__sheaf_own") == F.col("__sheaf_digest"), "left_anti").drop("__sheaf_own")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__sheaf_row")
+    return _judged(_rows(docs, whole), judges).where("kept").select("__sheaf_row.*")
