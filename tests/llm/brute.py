@@ -1,9 +1,11 @@
 """Plain versions of the operators, for comparison; one text or one table at a time, no Spark."""
 
 import hashlib
+import math
 import re
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 import xxhash
@@ -132,3 +134,62 @@ def quality(text):
     lines = [x for x in text.split("\n") if split_blank(x)]
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat), n < 50 or 100 * len(repeat) > 50 * n
+
+
+def quality_vector(text):
+    n, chars, symbols, lines, repeats, _ = quality(text)
+    w = max(n, 1)
+    return [math.log1p(n), chars / w, *(math.log1p(100 * c / w) for c in (symbols, lines, repeats))]
+
+
+def mcd(x, half, floor, consistency, first, more, bins):
+    """Location and scatter of the rows of x, by plain concentration steps from three starts."""
+    target, n = np.diag(np.square(floor)), len(x)
+    middle = lambda a: np.sort(a, axis=0)[(n - 1) // 2]  # noqa: E731  as approximate percentiles take it: an element
+    center = middle(x)
+    width = np.sqrt((1.4826 * middle(abs(x - center))) ** 2 + np.square(floor))
+    z = (x - center) / width
+    long = np.linalg.norm(z, axis=1, keepdims=True)
+    signs = z / np.where(long > 0, long, 1)
+
+    def correlation(m):
+        scale = np.sqrt(np.outer(np.diag(m), np.diag(m)))
+        out = 0.99 * np.where(scale > 1e-12, m / np.where(scale > 1e-12, scale, 1), 0)
+        np.fill_diagonal(out, 1)
+        return out
+
+    def step(m, s):
+        far = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        place = np.floor(bins * np.log2(far + 1))
+        near = x[place <= np.sort(place)[math.ceil(half * n) - 1]]
+        return near.mean(0), consistency * np.cov(near.T, bias=True) + target
+
+    found = []
+    for c in (np.eye(5), correlation(np.cov(np.tanh(z).T, bias=True)), correlation(signs.T @ signs / n)):
+        m, s = center, c * np.outer(width, width)
+        for _ in range(first):
+            m, s = step(m, s)
+        found.append((round(np.linalg.slogdet(s)[1], 9), len(found), m, s))
+    _, _, m, s = min(found, key=lambda e: e[:2])
+    for _ in range(more):
+        m, s = step(m, s)
+    return m, s
+
+
+def quality_distances(rows, least, **how):
+    """rows: (text, lang, source) -> d2 of each, and whether the base rules fail it."""
+    x = np.array([quality_vector(t) for t, _, _ in rows])
+    failed = np.array([quality(t)[5] for t, _, _ in rows])
+    own, of_lang = [(l, s) for _, l, s in rows], [l for _, l, _ in rows]
+    members = lambda names, name: np.array([n == name for n in names]) & ~failed
+    out, fitted = np.zeros(len(rows)), {}
+    for i in range(len(rows)):
+        for key, inside in ((("own", own[i]), lambda i=i: members(own, own[i])), (("lang", of_lang[i]), lambda i=i: members(of_lang, of_lang[i])), (("all",), lambda: ~failed)):
+            if key not in fitted:
+                where = inside()
+                fitted[key] = mcd(x[where], **how) if where.sum() >= least or key == ("all",) else None
+            if fitted[key]:
+                m, s = fitted[key]
+                out[i] = (x[i] - m) @ np.linalg.inv(s) @ (x[i] - m)
+                break
+    return out, failed

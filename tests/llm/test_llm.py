@@ -362,10 +362,10 @@ def test_windows_cover_all():
 
 
 def test_quality_counts(spark, docs, odd):
-    for frame in (docs, odd):
-        found = {r["doc_id"]: tuple(r)[1:7] for r in quality.verdicts(frame).collect()}
-        assert found == {d: brute.quality(t) for d, t in pairs(frame)}
-    assert quality.verdicts(odd.limit(0)).count() == 0
+    frame = docs.select("doc_id", "text", "lang", "source").unionByName(odd.select(F.col("doc_id") + 10_000, *("text", "lang", "source")).toDF("doc_id", "text", "lang", "source"))
+    found = {r["doc_id"]: tuple(r)[1:7] for r in quality.verdicts(frame).collect()}
+    assert found == {d: brute.quality(t) for d, t in pairs(frame)}
+    assert quality.verdicts(odd.limit(0)).count() == 0 and quality.verdicts(odd).count() == len(ODD)
     plan = quality.statistics(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
@@ -400,11 +400,59 @@ def test_quality_rejects_labelled_junk(spark, docs):
     assert judged & bad and {d for d in judged if not found[d]["kept"]} == judged & bad
 
 
+HOW = {"half": quality.HALF, "floor": quality.FLOOR, "consistency": quality.CONSISTENCY, "first": quality.FIRST_STEPS, "more": quality.MORE_STEPS, "bins": quality.BINS}
+
+
+@pytest.mark.parametrize("groups", [quality.BROADCAST_GROUPS, 3])
+def test_quality_against_plain_estimates(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", groups)
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null")
+    rows = frame.collect()
+    far, failed = brute.quality_distances([(r["text"], r["lang"], r["source"]) for r in rows], quality.MIN_GROUP, **HOW)
+    found = {r["doc_id"]: r for r in quality.verdicts(frame).collect()}
+    assert np.allclose([found[r["doc_id"]]["d2"] for r in rows], far, rtol=1e-6)
+    assert [found[r["doc_id"]]["kept"] for r in rows] == (~failed & (far <= quality.CUTOFF)).tolist()
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    judged = [r for r in rows if r["doc_id"] in marks and not found[r["doc_id"]]["base_failed"]]
+    assert {bool(marks[r["doc_id"]]) for r in judged} == {True, False} and all(found[r["doc_id"]]["kept"] == bool(marks[r["doc_id"]]) for r in judged)
+
+
+def test_quality_keeps_good_rows_without_ids(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    good = [(i % 5 or None, " ".join(word() for _ in range(rng.randrange(60, 400))), "en", "s") for i in range(80)]
+    junk = [(None if i % 2 else 3, " ".join(word() + "$$$###" for _ in range(200)), "en", "s") for i in range(4)] + [(1, None, None, None)]
+    frame = spark.createDataFrame(good + junk + junk[:1] + good[:1], "doc_id long, text string, lang string, source string").withColumn("kept", F.lit(1)).withColumn("digest", F.lit(2)).repartition(3)
+    for limit in (quality.BROADCAST_TEXTS, 1):
+        monkeypatch.setattr(quality, "BROADCAST_TEXTS", limit)
+        kept = quality.keep_good(frame)
+        assert kept.columns == frame.columns
+        assert sorted(repr(tuple(r)[:4]) for r in kept.collect()) == sorted(repr(r) for r in good + good[:1])
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_quality_rejects_repetition_below_the_base_rule(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    line = lambda: " ".join(word() for _ in range(10))
+    good = [(i, "\n".join(line() for _ in range(rng.randrange(6, 40))), "en", "s") for i in range(200)]
+    lines = [line() for _ in range(22)]
+    repeated = [(500, "\n".join(lines + lines[:9] + [line() for _ in range(5)]), "en", "s")]
+    found = {r["doc_id"]: r for r in quality.verdicts(spark.createDataFrame(good + repeated, "doc_id long, text string, lang string, source string")).collect()}
+    assert not found[500]["base_failed"] and found[500]["n_dup_lines"] == 9 and not found[500]["kept"] and all(found[i]["kept"] for i in range(200))
+
+
 def test_inverse(spark):
     a = np.random.default_rng(1).normal(size=(5, 9))
     a = a @ a.T
-    found = spark.createDataFrame([(a.ravel().tolist(),)], "a array<double>").select(quality._inverse(F.col("a"))).first()[0]
-    assert np.allclose(np.array(found).reshape(5, 5) @ a, np.eye(5), atol=1e-6)
+    found = spark.createDataFrame([(a.ravel().tolist(),)], "a array<double>").select(quality._swept(F.col("a")).alias("e")).first()["e"]
+    assert np.allclose(np.array(found["q"]).reshape(5, 5) @ a, np.eye(5), atol=1e-6) and found["log_det"] == pytest.approx(np.linalg.slogdet(a)[1])
+
+
+def test_chi_square():
+    assert quality.chi_square(11.0705, 5) == pytest.approx(0.95, abs=1e-5) and quality.chi_square(14.0671, 7) == pytest.approx(0.95, abs=1e-5)
+    assert 1 - quality.chi_square(quality.CUTOFF, 5) == pytest.approx(quality.TAIL, rel=0.01)
 
 
 # -- 10 -----------------------------------------------------------------------------------------------
