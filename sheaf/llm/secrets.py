@@ -3,7 +3,9 @@
 The field tags tokens B (a secret begins), I (goes on) or O. Its features are a token's class (a word that announces
 secrets, or length, kinds of characters and spread), the classes of the two tokens before and of the one after, and
 features of the file. It is fitted by gradient ascent on sentences around the base spans of a bounded sample, their
-tokens being the labels, and decoded by Viterbi's algorithm.
+tokens being the labels, and decoded by Viterbi's algorithm. So that it finds what the patterns don't, it also learns
+from the sentences with the announcing word hidden or replaced by another, and with the value replaced by one of another
+shape: neither is needed, if the rest tells.
 """
 
 from __future__ import annotations
@@ -28,8 +30,17 @@ _TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
 #: The words that the class of a token keeps as they are.
 _CUES = frozenset("password passwd secret token key apikey api_key pwd auth bearer credential credentials private access login user".split())
 
-#: Bounds of the fit: documents with a base span, documents without, tokens on either side of a span.
-FIT_WITH, FIT_WITHOUT, AROUND = 400, 200, 24
+#: Bounds of the fit: documents with a base span, documents without, bytes of a document that is learned from, tokens on
+#: either side of a span, and sentences of a document.
+FIT_WITH, FIT_WITHOUT, FIT_BYTES, AROUND, SENTENCES = 400, 400, 1 << 16, 12, 4
+#: Rounds of changed sentences where there are few to learn from.
+MOST_ROUNDS = 12
+#: The alphabets of the values that are put in for others, and their least and greatest length.
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_VALUE_LENGTHS = (16, 64)
+#: Marks that stand between an announcing word and a value, and words that announce nothing, put in for them.
+_PARTING = ("=", ":", '"', "'", ",", ">")
+_PLAIN_WORDS = ("to", "the", "with", "nothing", "interesting", "And", ".")
 #: Distinct tokens whose classes a Python worker keeps before it starts afresh.
 CACHED_TOKENS = 150_000
 _B, _I, _O = 0, 1, 2
@@ -117,22 +128,36 @@ class Field:
         out[:-1] += self.ahead[ids[1:]]
         return out
 
-    def decode(self, e: np.ndarray) -> list[int]:
-        """Viterbi. All O at once where no label of any token can gain on O, even with the best transitions."""
-        m = self.move
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """Viterbi, only where a secret can gain on O.
+
+        A run B I I ... gains on all O at most the sum of its tokens' bounds, so a token in no interval of positive sum is O.
+        """
+        m, labels = self.move, np.full(len(e), _O)
         if not len(e):
-            return []
+            return labels
         gain_b = max(0.0, m[:, _B].max() - m[_O, _O]) + max(0.0, m[:, _O].max() - m[_O, _O])
         gain_i = max(0.0, m[:2, _I].max() - m[_O, _O])
-        if not ((e[:, _B] - e[:, _O] + gain_b > 0) | (e[:, _I] - e[:, _O] + gain_i > 0)).any():
-            return [_O] * len(e)
-        rows, moves, back = e.tolist(), m.tolist(), []
-        now = [rows[0][_B], _NEVER, rows[0][_O]]
+        bound = np.maximum(e[:, _B] - e[:, _O] + gain_b, e[:, _I] - e[:, _O] + gain_i)
+        if bound.max() <= 0:
+            return labels
+        sums = np.concatenate(([0.0], np.cumsum(bound)))
+        ahead = np.maximum.accumulate(sums[:0:-1])[::-1]
+        able = np.concatenate(([False], ahead - np.minimum.accumulate(sums[:-1]) > 0, [False]))
+        edges = np.flatnonzero(able[1:] != able[:-1]).reshape(-1, 2)
+        for first, stop in edges.tolist():
+            labels[first:stop] = self._stretch(e[first:stop].tolist(), first == 0, stop == len(e))
+        return labels
+
+    def _stretch(self, rows: list, opens: bool, ends: bool) -> list[int]:
+        """The best labels of some tokens that stand between O, or at the ends of the text."""
+        moves, back = self.move.tolist(), []
+        now = [rows[0][_B], _NEVER, rows[0][_O]] if opens else [moves[_O][b] + rows[0][b] for b in range(3)]
         for row in rows[1:]:
             best = [max(range(3), key=lambda a, b=b: now[a] + moves[a][b]) for b in range(3)]
             now = [now[best[b]] + moves[best[b]][b] + row[b] for b in range(3)]
             back.append(best)
-        label = max(range(3), key=now.__getitem__)
+        label = max(range(3), key=lambda a: now[a] + (0.0 if ends else moves[a][_O]))
         out = [label]
         for best in reversed(back):
             label = best[label]
@@ -144,10 +169,10 @@ class Field:
         if not tokens:
             return []
         labels = self.decode(self.emissions(self.ids(tokens), file_class(text)))
-        if _B not in labels:
+        if not (labels == _B).any():
             return []
         out: list[tuple[int, int, str]] = []
-        for m, label in zip(_TOKEN.finditer(text), labels, strict=True):
+        for m, label in zip(_TOKEN.finditer(text), labels.tolist(), strict=True):
             if label == _B:
                 out.append((m.start(), m.end(), "crf"))
             elif label == _I and out:
@@ -166,16 +191,48 @@ def labelled_tokens(text: str) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
-def train(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def _sentences(text: str, draw: np.random.Generator, rounds: int = 1):
+    """(classes, labels) of the tokens around some base spans, or around tokens with digits where there is none; and changed ones, in so many rounds."""
+    tokens, labels = labelled_tokens(text)
+    if not tokens:
+        return
+    begins = [i for i, x in enumerate(labels) if x == _B]
+    places = begins or [i for i, t in enumerate(tokens) if any(c.isdigit() for c in t)]
+    places = sorted(draw.choice(places, min(SENTENCES, len(places)), replace=False).tolist()) if places else [len(tokens) // 2]
+    cues = sorted(_CUES)
+    for p in places:
+        first, stop = max(0, p - AROUND), p + AROUND
+        classes, marks = [token_class(t) for t in tokens[first:stop]], labels[first:stop]
+        yield classes, marks
+        if not begins:
+            continue
+        announced = [i for i, t in enumerate(tokens[first:stop]) if t.lower() in _CUES and marks[i] == _O]
+        values = [i for i, x in enumerate(marks) if x == _B]
+        parts = [i for v in values for i in range(max(0, v - 3), min(len(marks), v + 2)) if classes[i] in _PARTING]
+
+        def shaped() -> str:
+            alphabet = _ALPHABETS[draw.integers(len(_ALPHABETS))]
+            return token_class("".join(alphabet[k] for k in draw.integers(len(alphabet), size=draw.integers(*_VALUE_LENGTHS))))
+
+        def changed(at: list[int], to) -> list[str]:
+            return [to() if i in at else c for i, c in enumerate(classes)]
+
+        for _ in range(rounds):
+            yield changed(announced, str), marks  # the value's shape and the marks tell
+            yield [shaped() if i in values else c for i, c in enumerate(changed(announced + parts, lambda: token_class(_PLAIN_WORDS[draw.integers(len(_PLAIN_WORDS))])))], marks  # its shape alone
+            if announced:  # another word and other marks announce a value of another shape
+                other = changed(parts, lambda: _PARTING[draw.integers(len(_PARTING))])
+                yield [shaped() if i in values else cues[draw.integers(len(cues))] if i in announced else c for i, c in enumerate(other)], marks
+
+
+def train(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float = 1e-3, seed: int = 5) -> Field:
     """Maximises the labels' log likelihood, less decay times the squared weights, over sentences of the texts."""
-    width = 2 * AROUND
-    cut: list[tuple[list[str], list[int], int]] = []
-    for text in texts:
-        tokens, labels = labelled_tokens(text)
-        places = [i for i, x in enumerate(labels) if x == _B] or [len(tokens) // 2]
-        cut += [(tokens[s : s + width], labels[s : s + width], file_class(text)) for p in places if tokens for s in [max(0, p - AROUND)]]
+    width, draw = 2 * AROUND, np.random.default_rng(seed)
+    rounds = min(MOST_ROUNDS, 1 + FIT_WITH // (1 + sum(bool(base_spans(text)) for text in texts)))
+    cut = [(classes, labels, file_class(text)) for text in texts for classes, labels in _sentences(text, draw, rounds)]
     names: dict[str, int] = {}
-    rows = [[names.setdefault(token_class(t), len(names) + 1) for t in tokens] for tokens, _, _ in cut]
+    # A hidden class is numbered as unknown ones are, so the field learns what to make of these.
+    rows = [[names.setdefault(c, len(names) + 1) if c else 0 for c in classes] for classes, _, _ in cut]
     k, n = len(names) + 1, len(cut)
     shape = {"own": (k, 3), "back1": (k, 3), "back2": (k, 3), "ahead": (k, 3), "file": (9, 3), "move": (3, 3)}
     w = {name: np.zeros(s) for name, s in shape.items()}
@@ -229,21 +286,26 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.15, decay: float =
 
 
 def fit(docs: DataFrame, with_spans: int = FIT_WITH, without: int = FIT_WITHOUT) -> Field:
-    """A field from at most with_spans documents of base spans and without others, the first by a hash of their ids."""
+    """A field from at most with_spans documents of base spans and without others, the first by a hash of their ids.
+
+    Documents above FIT_BYTES aren't learned from (they are scanned as all are). Of rows with the same id, one counts, and
+    null ids and texts are left out; so what reaches the driver is bounded. Without base spans the field finds nothing.
+    """
     likely = F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]")
-    drawn = docs.where("text is not null").select("doc_id", "text", F.xxhash64(F.lit("secrets"), "doc_id").alias("h"))
+    drawn = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text", F.xxhash64(F.lit("secrets"), "doc_id").alias("h"))
     first = lambda rows, n: rows.select("doc_id", "h").where("doc_id is not null").orderBy("h", "doc_id").limit(n)
     # At most with_spans + without ids: a broadcast of bounded size.
     few = F.broadcast(first(drawn.where(likely), with_spans).unionByName(first(drawn, without)).distinct())
-    rows = drawn.drop("h").join(few, "doc_id").select("doc_id", "h", "text").collect()
-    return train([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
+    rows = drawn.drop("h").join(few, "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))])
 
 
 def scan(docs: DataFrame, model: Field) -> DataFrame:
     """The spans of each row of (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    A span of the field is added where it touches no base span; base spans all stay. A null text is empty: no spans.
-    A row in gives a row out, so repeated rows repeat; other columns are ignored; texts are scanned whole.
+    A span of the field is added unless it lies within a base span, so it may also show that a secret goes on beyond one;
+    base spans all stay. A null text is empty: no spans. A row in gives a row out, so repeated rows repeat and an empty
+    table gives none; other columns are ignored; texts are scanned whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -251,7 +313,7 @@ def scan(docs: DataFrame, model: Field) -> DataFrame:
         own, out = shared.value, {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
         for text in rows.column("text").to_pylist():
             base = base_spans(text or "")
-            more = [s for s in own.spans(text or "") if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+            more = [s for s in own.spans(text or "") if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
             for kind in KINDS[:3]:
                 out[f"n_{kind}"].append(sum(s[2] == kind for s in base))
             out["base_sha256"].append(hashlib.sha256(span_list(base).encode()).hexdigest())

@@ -193,3 +193,53 @@ def quality_distances(rows, least, **how):
                 out[i] = (x[i] - m) @ np.linalg.inv(s) @ (x[i] - m)
                 break
     return out, failed
+
+
+def secret_spans(text):
+    """The base spans by hand, letter by letter: (start, end, kind), by start and then kind."""
+    text = text or ""
+    fold = ascii_lower(text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, i = [], 0
+
+    def skip(at, letters, most):
+        n = 0
+        while at < len(text) and text[at] in letters and n < most:
+            at, n = at + 1, n + 1
+        return at
+
+    def assign(at):
+        """(end, length of the value), trying the optional parts as a matcher does: taken first, left out if that fails."""
+        for cue in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not fold.startswith(cue, at):
+                continue
+            after = at + len(cue)
+            for quoted in sorted({skip(after, "\"'", 1), after}, reverse=True):
+                mark = skip(quoted, " ", len(text))
+                if mark < len(text) and text[mark] in ":=":
+                    begin = skip(mark + 1, " ", len(text))
+                    begin = skip(begin, "\"'", 1)
+                    end = skip(begin, value, len(text))
+                    if end > begin:
+                        return end, end - begin
+        return None
+
+    while i < len(text):
+        found = assign(i)
+        if found:
+            if found[1] >= 6:
+                out.append((i, found[0], "assign"))
+            i = found[0]
+        else:
+            i += 1
+    for kind, head, letters, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            end = skip(i + len(head), letters, len(text))
+            if text.startswith(head, i) and end > i + len(head):
+                if end - i >= least:
+                    out.append((i, end, kind))
+                i = end
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
