@@ -21,8 +21,10 @@ WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 #: Places that character 3- and 4-grams are hashed to.
 CHAR_PLACES = 1 << 13
-#: Bounds of the fit: toxic and other documents (drawn by a hash of the id), and words with a vector of their own.
-FIT_TOXIC, FIT_OTHER, FIT_WORDS = 800, 1600, 20_000
+#: Bounds of the fit: toxic and other documents (drawn by a hash of the id), and bytes of a document that is learned from.
+FIT_TOXIC, FIT_OTHER, FIT_BYTES = 1200, 2400, 1 << 16
+#: Words in fewer texts of the sample are known by their characters only.
+LEAST_TEXTS = 3
 #: Distinct words whose projections a Python worker keeps, and windows scored at once: the bounds of its memory.
 CACHED_WORDS, BATCH_WINDOWS = 100_000, 1024
 #: In training: windows at random of a text with label 0, share of word vectors dropped, decay of the weights.
@@ -180,14 +182,17 @@ class Network:
                 self.table = [np.concatenate(self.table)]
         return np.fromiter(map(self.cache.__getitem__, found), np.int64, len(found))
 
-    def window_logits(self, distinct: list[bytes], rows: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Logits of windows given as places in distinct words."""
+    def window_logits(self, distinct: list[bytes], windows: Windows) -> np.ndarray:
+        """Logits of windows over places in distinct words."""
         place, starts = char_grams(distinct)
         sizes = np.diff(np.append(starts, len(place)))
         x = np.concatenate([self.w["E"][[self.vocabulary.get(w, 0) for w in distinct]], np.add.reduceat(self.w["C"][place], starts, axis=0) / sizes[:, None]], axis=1)
         tables = {side: (x @ self.w[f"W{side}"] + self.w[f"b{side}"]).astype(np.float32) for side in "fb"}
-        parts = range(0, len(rows), BATCH_WINDOWS)
-        return np.concatenate([self.forward(lambda side, i=i: tables[side][rows[i : i + BATCH_WINDOWS]], real[i : i + BATCH_WINDOWS]) for i in parts])
+        out = np.empty(len(windows.first), np.float32)
+        for i in range(0, len(out), BATCH_WINDOWS):
+            rows, real = windows.rows(np.arange(i, min(len(out), i + BATCH_WINDOWS)))
+            out[i : i + BATCH_WINDOWS] = self.forward(lambda side, rows=rows: tables[side][rows], real)
+        return out
 
     def score_texts(self, texts: list[bytes | None]) -> np.ndarray:
         """Scores of whole texts: the highest of their windows; the constant alone where there is no word."""
@@ -223,6 +228,25 @@ def window_starts(n: int) -> list[int]:
     return [0] if 0 < n <= WINDOW else list(range(0, n - WINDOW + STRIDE, STRIDE)) if n else []
 
 
+class Windows:
+    """All windows of all texts, as places in one array of words; rows are made for those that are asked for."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        cuts = [window_starts(len(own)) for own in texts]
+        self.flat = np.concatenate([*texts, np.zeros(1, np.int32)])
+        base = np.cumsum([0, *map(len, texts)])
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cuts])
+        self.first = np.array([base[i] + s for i, c in enumerate(cuts) for s in c], np.int64)
+        self.stop = base[self.owner + 1]
+        self.of_text = np.cumsum([0, *map(len, cuts)])
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, whether there is one) of some windows, both (windows, time)."""
+        at = self.first[which][:, None] + np.arange(WINDOW)
+        real = at < self.stop[which][:, None]
+        return np.where(real, self.flat[np.minimum(at, len(self.flat) - 1)], 0), real.astype(np.float32)
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int | None = None, rate: float = 0.02, seed: int = 11) -> Network:
     """Fits a network to labels of whole texts, from some windows of each text in each epoch.
 
@@ -235,7 +259,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
     found = [words(t) for t in texts]
     draw, y = np.random.default_rng(seed), np.array(labels, np.float32)
     seen: Counter = Counter(w for f in found for w in set(f))
-    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FIT_WORDS]) if n > 2}
+    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted((w, n) for w, n in seen.items() if n >= LEAST_TEXTS))}
     net = Network.fresh(vocabulary)
     if not len(y) or y.min() == y.max():
         net.w["o"][:] = 0
@@ -252,23 +276,18 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
     inside = np.flatnonzero(word_id)
     net.w["C"][:, 0], net.w["E"][word_id[inside], 0] = odds[1] / 3, odds[0][inside] / 3
     rank = np.add.reduceat(odds[1][places], starts) / np.diff(bounds) + odds[0]
-    # All windows of all texts: their text, first word and end, in one table.
-    cuts = [window_starts(len(own)) for own in ids]
-    owner = np.repeat(np.arange(len(ids)), [len(c) for c in cuts])
-    flat = np.concatenate([*ids, np.zeros(WINDOW, np.int32)])
-    base = np.cumsum([0, *map(len, ids)])
-    at = np.array([base[i] + s for i, c in enumerate(cuts) for s in c], np.int64)[:, None] + np.arange(WINDOW)
-    real = (at < base[owner + 1][:, None]).astype(np.float32)
-    rows = np.where(real > 0, flat[np.minimum(at, len(flat) - 1)], 0)
-    of_text = np.cumsum([0, *map(len, cuts)])
-    del at, flat
-    height = np.where(real > 0, rank[rows], -np.inf).max(axis=1)
+    windows = Windows(ids)
+    owner, of_text = windows.owner, windows.of_text
+    height = np.empty(len(owner))
+    for i in range(0, len(owner), BATCH_WINDOWS):
+        rows, real = windows.rows(np.arange(i, min(len(owner), i + BATCH_WINDOWS)))
+        height[i : i + BATCH_WINDOWS] = np.where(real > 0, rank[rows], -np.inf).max(axis=1)
     first, second, t = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     importance = np.where(y == 1, max(1.0, (1 - y.mean()) / y.mean() / 2), 1.0)
     trust = np.ones(len(y))
     for epoch in range(epochs):
         if epoch >= epochs // 3:
-            height = net.window_logits(distinct, rows, real)
+            height = net.window_logits(distinct, windows)
             trust = _trust(height, of_text, y)
         picked = []
         for i in range(len(ids)):
@@ -279,7 +298,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
         order = draw.permutation(np.array(picked, np.int64))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            shown, there = (np.concatenate([a[some], np.zeros((1, WINDOW), a.dtype)]) for a in (rows, real))
+            shown, there = (np.concatenate([a, np.zeros((1, WINDOW), a.dtype)]) for a in windows.rows(some))
             target, weight = np.append(y[owner[some]], np.float32(0)), np.append((importance * trust)[owner[some]], 1.0)
             used, inverse = np.unique(shown, return_inverse=True)
             inverse = inverse.reshape(-1, WINDOW)
@@ -320,21 +339,23 @@ def _log_odds(ids, y, places, bounds, n_words):
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int = FIT_OTHER) -> Network:
     """Learns from the texts of docs with labels (doc_id, toxic 0/1): at most so many of each label, the first by a hash of their ids.
 
-    Null ids, labels and texts are left out, as are labels of unknown documents. Without both labels the network is a constant.
+    Null ids, labels and texts are left out, as are labels of unknown documents and documents above FIT_BYTES; of rows with the
+    same id, one counts. So what reaches the driver is bounded. Without both labels the network is a constant.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit("toxicity"), "doc_id").alias("h")).dropna()
     drawn = [known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most) for label, most in ((1, toxic), (0, other))]
     # At most toxic + other rows of three numbers, so a broadcast of bounded size; texts are not shuffled.
-    few = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(few, "doc_id").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["toxic"], r["text"]))
-    return train([bytes(r["text"]) for r in rows], [r["toxic"] for r in rows])
+    few = F.broadcast(drawn[0].unionByName(drawn[1]).distinct())
+    drawn = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text").join(few, "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(drawn.collect(), key=lambda r: (r["h"], r["doc_id"], r["toxic"]))
+    return train([r["text"].encode() for r in rows], [r["toxic"] for r in rows])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of each row of (doc_id, text), other columns aside.
 
-    Null and wordless texts get the network's constant. All windows of a long text are scored. Repeated rows repeat.
+    Null and wordless texts get the network's constant. All windows of a long text are scored. Repeated rows repeat, and an
+    empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
