@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -243,3 +244,47 @@ def secret_spans(text):
             else:
                 i += 1
     return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
+
+
+def letters(text):
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] == "L":
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def language_model(rows, smooth=0.5):
+    """rows: (lang, text) -> a function from text to (language, share), with one dictionary of counts for each kind of unit."""
+    langs = sorted({lang for lang, _ in rows})
+    parts = lambda w, n: [w] if n == 0 else [x[i : i + n] for x in ["<" + w + ">" if n > 1 else w] for i in range(len(x) - n + 1)]
+    counts = {(n, lang): {} for n in range(5) for lang in langs}
+    for lang, text in rows:
+        for w in letters(text):
+            for n in range(5):
+                for u in parts(w, n):
+                    counts[n, lang][u] = counts[n, lang].get(u, 0) + 1
+    known = {n: {u for lang in langs for u in counts[n, lang]} for n in range(5)}
+    totals = {k: sum(v.values()) for k, v in counts.items()}
+
+    def log(n, lang, u):
+        return math.log(counts[n, lang].get(u, 0) + smooth) - math.log(totals[n, lang] + smooth * len(known[n]))
+
+    def predict(text):
+        total = dict.fromkeys(langs, 0.0)
+        if not letters(text) or not langs:
+            return "und", 0.0
+        for w in letters(text):
+            for n in (0, 4, 3, 2, 1):
+                units = [u for u in parts(w, n) if u in known[n]]
+                if units:
+                    for lang in langs:
+                        total[lang] += sum(log(n, lang, u) for u in units) / len(units)
+                    break
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp(t - total[best]) for t in total.values())
+
+    return predict

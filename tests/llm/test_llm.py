@@ -156,6 +156,32 @@ def test_language(spark, docs, odd):
     assert langid.held_out_predictions(odd.limit(0)).count() == 0
 
 
+def test_language_against_plain_counts(spark, docs, odd):
+    """Every prediction of the query, held out or not, against a model of dictionaries fitted on the same rows."""
+    import zlib
+
+    frame = docs.select("doc_id", "text", "lang").unionByName(odd.select(F.col("doc_id") + 10_000, "text", F.when(F.col("doc_id") < 4, F.col("lang"))).toDF("doc_id", "text", "lang"))
+    rows = frame.collect()
+    plain = brute.language_model([(r["lang"], r["text"]) for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])
+    found = {r["doc_id"]: r for r in langid.held_out_predictions(frame).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        lang, share = plain(r["text"])
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == lang and got["score"] == pytest.approx(share, rel=1e-6) and got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1), r["doc_id"]
+
+
+def test_language_sample(spark, monkeypatch):
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(7, "a text", "en"), (7, "a text", "en"), (None, "x", "en"), (5000, None, "en"), (5001, "y", None), (5002, "z", "rare"), (5002, "zz", "rare"), (5003, "w" * 100, "long")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "FIT_BYTES", 50)
+    found = langid.sample(frame, 100).collect()
+    assert sorted((lang, sum(r["lang"] == lang for r in found)) for lang in ("en", "rare", "long")) == [("en", 100), ("long", 0), ("rare", 1)] and len(found) == 101
+    hashed = sorted((r["h"], r["text"]) for r in frame.where("lang = 'en' and text is not null and doc_id < 4000").select(F.xxhash64(F.lit("langid"), "doc_id").alias("h"), "text", "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text")).collect())
+    assert {r["text"] for r in found if r["lang"] == "en"} == {t for _, t in hashed[:100]}
+    assert len(langid.sample(frame, 5000).where("lang = 'en'").collect()) == 3000 and langid.sample(frame.limit(0)).count() == 0
+
+
 def test_language_backs_off():
     model = langid.Model.of([("en", "the", 50), ("en", "thing", 5), ("de", "schnell", 9), ("de", "und", 50)])
     assert model.predict("schnellen schnee")[0] == "de" and model.predict("thinking")[0] == "en" and model.predict("12 !")[0] == "und"
@@ -401,6 +427,40 @@ def test_toxicity_learns_and_scores_all_windows(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(frame, net).collect()) and toxicity.score(frame.limit(0), net).count() == 0
 
 
+@pytest.fixture(scope="module")
+def toxic_scores(spark):
+    """The query's own result at sf0.1, beside the labels."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    return queries.op8_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("toxic is not null").collect()
+
+
+def test_toxicity_query_on_held_out_rows(toxic_scores):
+    """Recall and false alarms on documents whose labels were never learned."""
+    held = [r for r in toxic_scores if r["held_out"]]
+    toxic, clean = [r for r in held if r["toxic"]], [r for r in held if not r["toxic"]]
+    assert len(toxic) > 80 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in toxic_scores)
+    assert sum(r["predicted"] for r in toxic) / len(toxic) >= 0.9 and sum(r["predicted"] for r in clean) / len(clean) <= 0.03
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 40)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(sorted(zip(texts, labels, strict=True))))
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, "x" * 50), (4, None), (None, "n"), (5, "d")], SCHEMA).withColumn("toxic", F.lit(9))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 1), (5, None), (None, 1), (77, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert seen == [[(b"a", 1), (b"c", 0)]]
+
+
+def test_windows_are_made_as_asked_for():
+    texts = [np.arange(n, dtype=np.int32) + 1 for n in (0, 5, 32, 33, 200)]
+    windows = toxicity.Windows(texts)
+    assert np.diff(windows.of_text).tolist() == [len(toxicity.window_starts(len(t))) for t in texts]
+    rows, real = windows.rows(np.arange(len(windows.first)))
+    made = [t[s : s + toxicity.WINDOW].tolist() for t in texts for s in toxicity.window_starts(len(t))]
+    assert [r[x > 0].tolist() for r, x in zip(rows, real, strict=True)] == made
+
+
 def test_windows_cover_all():
     for n in range(0, 200):
         starts = toxicity.window_starts(n)
