@@ -228,7 +228,7 @@ def hash_r6(password: bytes, salt: bytes, user: bytes = b"") -> bytes:
 
 
 def object_key(key: bytes, ref: Ref, aes: bool) -> bytes:
-    data = key + ref.number.to_bytes(3, "little") + ref.generation.to_bytes(2, "little") + (b"sAlT" if aes else b"")
+    data = key + (ref.number & 0xFFFFFF).to_bytes(3, "little") + (ref.generation & 0xFFFF).to_bytes(2, "little") + (b"sAlT" if aes else b"")
     return hashlib.md5(data).digest()[: min(len(key) + 5, 16)]
 
 
@@ -278,22 +278,35 @@ def unlock(document, password: str | bytes) -> Security:
     entries = {k: document.resolve(v) for k, v in document.dictionary(value).items()}
     ids = document.array(document.trailer.get("ID"))
     file_id = ids[0] if ids and isinstance(ids[0], bytes) else b""
-    version, revision = entries.get("V", 0), entries.get("R", 0)
+
+    def number(key: str, default: int) -> int:
+        found = entries.get(key, default)
+        if not isinstance(found, (int, float)) or isinstance(found, bool) or not -(1 << 32) <= found < 1 << 32:
+            raise Fault("crypto", f"/{key} is not a number that fits")
+        return int(found)
+
+    def string(key: str) -> bytes:
+        found = entries.get(key, b"")
+        if not isinstance(found, bytes):
+            raise Fault("crypto", f"/{key} is not a string")
+        return found
+
+    version, revision = number("V", 0), number("R", 0)
     if entries.get("Filter") != "Standard" or version not in (1, 2, 4, 5):
         raise Fault("unsupportedFeature", "this security handler")
-    owner, user, permissions = entries.get("O", b""), entries.get("U", b""), int(entries.get("P", 0))
-    length = 5 if version == 1 else int(entries.get("Length", 40)) // 8 if version == 2 else 16
+    owner, user, permissions = string("O"), string("U"), number("P", 0)
+    length = 5 if version == 1 else min(16, max(5, number("Length", 40) // 8)) if version == 2 else 16
     method = "rc4"
     if version >= 4:
         filters, name = document.dictionary(entries.get("CF")), entries.get("StmF", "Identity")
-        kind = document.dictionary(filters.get(name)).get("CFM") if name != "Identity" else "None"
+        kind = document.resolve(document.dictionary(filters.get(name) if isinstance(name, str) else None).get("CFM")) if name != "Identity" else "None"
         method = {"V2": "rc4", "AESV2": "aes", "AESV3": "aes256", "None": "none"}.get(str(kind))
         if method is None:
             raise Fault("unsupportedFeature", "this crypt filter")
     document.cache.clear()
     if revision >= 5:
         secret = (password.encode() if isinstance(password, str) else password)[:127]
-        for stored, sealed, more in ((user, entries.get("UE", b""), b""), (owner, entries.get("OE", b""), user[:48])):
+        for stored, sealed, more in ((user, string("UE"), b""), (owner, string("OE"), user[:48])):
             if len(stored) >= 48 and hash_r6(secret, stored[32:40], more) == stored[:32]:
                 return Security(AES(hash_r6(secret, stored[40:48], more)).uncbc(sealed[:32], bytes(16)), method, entries, file_id, skip)
         raise Fault("needsPassword", "neither the user's nor the owner's password")

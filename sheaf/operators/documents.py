@@ -1,7 +1,8 @@
 """Documents as relations: (doc_id, content) to tables of objects, pages, glyphs, words, fields and so on.
 
 Each is one narrow pass: a document is opened once in the task that holds its row, and nothing is shuffled. A document
-that can't be read gives one row with its error's code and nulls, never a failed job.
+that can't be read gives one row with its error's code and nulls, never a failed job: the code of the Fault, `limit` where
+the interpreter ran out of depth or memory, or `internal` for what no Fault foresees.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from sheaf.operators import author, content, forms, pages, redact, text
 from sheaf.session import spread
 from sheaf.sources.document import Document, sections
-from sheaf.sources.syntax import Fault, Stream, format_value, kind_of, references, tokens
+from sheaf.sources.syntax import Fault, Stream, code_of, format_value, kind_of, references, tokens
 
 #: Rows put into one Arrow batch on the way back.
 BATCH_ROWS = 4096
@@ -28,28 +29,30 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 def per_document(docs: DataFrame, rows_of: Callable[[bytes], Iterable[tuple]], columns: str, key: str = "doc_id", value: str = "content") -> DataFrame:
-    """key, the columns of each row that rows_of(value) gives, and error: null, or the code of the Fault that ended it."""
+    """key, the columns of each row that rows_of(value) gives, and error: null, or the code of what ended it.
+
+    A null value is `empty`, or `limit` where docs has a column length that says that there is content.
+    """
     kind = dict(docs.dtypes)[key]
     ddl = f"{key} {kind}, {columns}, error string"
     schema = _arrow_schema(ddl)
-    width = len(schema) - 2
+    width, sized = len(schema) - 2, "length" in docs.columns and value == "content"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for name, data in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
+            lengths = batch.column("length").to_pylist() if sized else [None] * batch.num_rows
+            for name, data, length in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), lengths, strict=True):
                 try:
                     if data is None:
-                        raise Fault("empty", "no content")
+                        raise Fault("limit" if length else "empty", "no content")
                     for row in rows_of(data):
                         rows.append((name, *row, None))
                         if len(rows) >= BATCH_ROWS:
                             yield pack(rows)
                             rows = []
-                except Fault as fault:
-                    rows.append((name, *[None] * width, fault.code))
-                except RecursionError:
-                    rows.append((name, *[None] * width, "limit"))
+                except Exception as error:
+                    rows.append((name, *[None] * width, code_of(error)))
         if rows:
             yield pack(rows)
 
@@ -57,7 +60,7 @@ def per_document(docs: DataFrame, rows_of: Callable[[bytes], Iterable[tuple]], c
         columns = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return spread(docs.select(key, value)).mapInArrow(run, ddl)
+    return spread(docs.select(key, value, *["length"] * sized)).mapInArrow(run, ddl)
 
 
 # -- to documents -------------------------------------------------------------------------------------
@@ -92,8 +95,8 @@ def merge_documents(parts: DataFrame) -> DataFrame:
                 source = Document(data)
                 pages.merge(out, source, list(range(len(source.page_refs()))))
             row = [out.save(), None]
-        except Fault as fault:
-            row = [None, fault.code]
+        except Exception as error:
+            row = [None, code_of(error)]
         return pa.table({"group_id": [key[0].as_py()], "content": pa.array([row[0]], pa.binary()), "error": pa.array([row[1]], pa.string())})
 
     return parts.groupBy("group_id").applyInArrow(merged, ddl)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sheaf.session import broadcast_if_small, checkpoint
 
+#: Ancestors that an inherited value is sought among.
 TREE_DEPTH = 64
+#: Doublings of the way up in qualified_names: names of up to 2**NAME_DOUBLINGS parts.
+NAME_DOUBLINGS = 12
 
 # -- newest wins and change logs ----------------------------------------------------------------------
 
@@ -68,11 +71,14 @@ def renumber(df: DataFrame, group: list[str], order: list[str], name: str = "new
     return within.join(F.broadcast(before), "__part").withColumn(name, (F.col("__row") + F.col("__before")).cast("long")).drop("__part", "__row", "__before")
 
 
-def closure(edges: DataFrame, roots: DataFrame, checkpoint_every: int = 4, depth: int = 10_000) -> DataFrame:
-    """(doc_id, node) reachable from roots over edges (doc_id, src, dst): a frontier that each round joins and cuts by what is known."""
+def closure(edges: DataFrame, roots: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+    """(doc_id, node) reachable from roots over edges (doc_id, src, dst): a frontier that each round joins and cuts by what is known.
+
+    A node is in one frontier only, so it ends at any depth and on cycles.
+    """
     known = checkpoint(roots.select("doc_id", "node").distinct())
     frontier, rounds = known, 0
-    while rounds < depth and not frontier.isEmpty():
+    while not frontier.isEmpty():
         step = frontier.join(edges.withColumnRenamed("src", "node"), ["doc_id", "node"]).select("doc_id", F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(known, ["doc_id", "node"], "left_anti"))
         known = known.unionByName(frontier)
@@ -82,14 +88,14 @@ def closure(edges: DataFrame, roots: DataFrame, checkpoint_every: int = 4, depth
     return known
 
 
-def page_leaves(nodes: DataFrame, roots: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+def page_leaves(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Leaves of trees in order: doc_id, node, page_no. nodes: doc_id, node, kids array; roots: doc_id, node.
 
-    Level by level to a bounded depth, with the path as the sort key; a node on its own path is passed over.
+    Level by level with the path as the sort key; a node on its own path is passed over, so it ends at any depth.
     """
     level = roots.select("doc_id", "node", F.array(F.col("node")).alias("seen"), F.array().cast("array<int>").alias("path"))
     leaves = None
-    for _ in range(depth):
+    while True:
         joined = checkpoint(level.join(nodes, ["doc_id", "node"]))
         found = joined.where("kids is null").select("doc_id", "node", "path")
         leaves = found if leaves is None else leaves.unionByName(found)
@@ -114,20 +120,24 @@ def inherited(nodes: DataFrame, value: str, depth: int = TREE_DEPTH) -> DataFram
     return settled.unionByName(now.select("doc_id", "node", F.lit(None).cast(now.schema[value].dataType).alias(value)))
 
 
-def qualified_names(nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
-    """doc_id, node, name: own names joined by dots from the root. nodes: doc_id, node, parent, part."""
-    now, done = nodes.select("doc_id", "node", "parent", F.coalesce("part", F.lit("")).alias("name")), None
-    up = nodes.select(F.col("doc_id").alias("d"), F.col("node").alias("above"), F.col("parent").alias("next"), F.col("part").alias("more"))
-    for _ in range(depth):
-        now = checkpoint(now)
-        whole = now.where("parent is null").select("doc_id", "node", "name")
-        done = whole if done is None else done.unionByName(whole)
-        rest = now.where("parent is not null")
-        if rest.isEmpty():
+def qualified_names(nodes: DataFrame, doublings: int = NAME_DOUBLINGS) -> DataFrame:
+    """doc_id, node, name: own names joined by dots from the root. nodes: doc_id, node, parent, part.
+
+    Each round a node takes over the way that the ancestor it has reached knows, so its way doubles. A parent that isn't
+    there ends the way as a root does. Nodes on a cycle, or of more than 2**doublings ancestors, get a null name.
+    """
+    known = nodes.select("doc_id", F.col("node").alias("there")).distinct()
+    start = nodes.join(known, (nodes["doc_id"] == known["doc_id"]) & (nodes["parent"] == known["there"]), "left")
+    now = checkpoint(start.select(nodes["doc_id"], "node", F.col("there").alias("above"), F.coalesce("part", F.lit("")).alias("name")))
+    for _ in range(doublings):
+        waiting = now.where("above is not null")
+        if waiting.isEmpty():
             break
-        longer = F.when(F.col("more").isNull(), F.col("name")).when(F.col("name") == "", F.col("more")).otherwise(F.concat_ws(".", "more", "name"))
-        now = rest.join(up, (rest["doc_id"] == up["d"]) & (rest["parent"] == up["above"])).select("doc_id", "node", F.col("next").alias("parent"), longer.alias("name"))
-    return done
+        up = now.select(F.col("doc_id").alias("d"), F.col("node").alias("reached"), F.col("above").alias("next"), F.col("name").alias("more"))
+        longer = F.when(F.col("more") == "", F.col("name")).when(F.col("name") == "", F.col("more")).otherwise(F.concat_ws(".", "more", "name"))
+        further = waiting.join(up, (waiting["doc_id"] == up["d"]) & (waiting["above"] == up["reached"])).select("doc_id", "node", F.col("next").alias("above"), longer.alias("name"))
+        now = checkpoint(now.where("above is null").unionByName(further))
+    return now.select("doc_id", "node", F.when(F.col("above").isNull(), F.col("name")).alias("name"))
 
 
 # -- regions ------------------------------------------------------------------------------------------

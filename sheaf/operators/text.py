@@ -127,15 +127,19 @@ def page_text(document, page: dict, **options) -> str:
 
 
 def search(blocks, needle: str, ignore_case: bool = False) -> list[tuple[int, int, tuple, str]]:
-    """(start, end, box, text) of matches that don't overlap; those over separators only are passed over."""
+    """(start, end, box, text) of matches that don't overlap; those over separators only are passed over.
+
+    Case is ignored character by character, as some change their length: a match covers all characters that it touches.
+    """
     text, behind = assembled(blocks)
-    within, sought = (text.lower(), needle.lower()) if ignore_case else (text, needle)
-    if not sought or len(within) != len(text):
-        within = text if sought else ""
+    fold = (lambda s: [c.lower() for c in s]) if ignore_case else list
+    parts = fold(text)
+    within, sought = "".join(parts), "".join(fold(needle))
+    origin = range(len(text)) if len(within) == len(text) else [i for i, part in enumerate(parts) for _ in part]
     out, at = [], 0
     while sought and (at := within.find(sought, at)) >= 0:
-        end = at + len(sought)
-        if found := [c for c in behind[at:end] if c is not None]:
-            out.append((at, end, union_box(c.box for c in found), text[at:end]))
-        at = end
+        start, end = origin[at], origin[at + len(sought) - 1] + 1
+        if found := [c for c in behind[start:end] if c is not None]:
+            out.append((start, end, union_box(c.box for c in found), text[start:end]))
+        at += len(sought)
     return out

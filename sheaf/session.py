@@ -38,12 +38,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Nodes of a plan under which the number of partitions is known without running anything.
+_NARROW = frozenset(["Project", "Filter", "Generate", "MapInArrow", "MapInPandas", "Union", "SubqueryAlias", "LogicalRelation", "LogicalRDD", "LocalRelation", "ExternalRDD", "Range", "ResolvedHint"])
+
+
+def _narrow(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName().split(" ")[0] in _NARROW and all(_narrow(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for work that is far dearer than a shuffle of its rows; as it is where it has partitions enough."""
+    """df over all cores, for work that is far dearer than a shuffle of its rows; as it is where it has partitions enough.
+
+    Only plans without a shuffle or broadcast are looked at, as counting the partitions of others would run them.
+    """
     if df.isStreaming:
         return df
+    execution = df._jdf.queryExecution()
+    if not _narrow(execution.optimizedPlan()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

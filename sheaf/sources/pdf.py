@@ -4,29 +4,37 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
-#: Files up to this size are opened; a larger one is a row with an error.
+#: Files up to this size are opened; a larger one is a row with the error `limit`.
 MAX_FILE = 1 << 30
-FILES_PER_TASK = 64
+#: A task reads about so many bytes, of so many files at most.
+TASK_BYTES, TASK_FILES = 1 << 27, 1024
+#: Files that a commit moves at once.
+MOVERS = 32
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content) of all files *.pdf under a path, by any file system that Spark knows. doc_id is the file's path."""
+    """(doc_id, content, length) of all files *.pdf under a path, by any file system that Spark knows. doc_id is the file's path.
+
+    The content of a file above MAX_FILE is null; by its length, operators tell it from no content.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.when(F.col("length") <= MAX_FILE, F.col("content")).alias("content"))
+    return files.select(F.col("path").alias("doc_id"), F.when(F.col("length") <= MAX_FILE, F.col("content")).alias("content"), "length")
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream: a row for each new file, with its time."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.col("modificationTime").alias("arrived"), "content")
+    return files.select(F.col("path").alias("doc_id"), F.col("modificationTime").alias("arrived"), F.when(F.col("length") <= MAX_FILE, F.col("content")).alias("content"), "length")
 
 
 def write_files(docs: DataFrame, path: str) -> None:
@@ -60,7 +68,7 @@ class PdfSource(DataSource):
         return PdfReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return PdfWriter(self.options, schema)
+        return PdfWriter(self.options, schema, overwrite)
 
 
 class PdfReader(DataSourceReader):
@@ -84,25 +92,35 @@ class PdfReader(DataSourceReader):
         system, root = fs.FileSystem.from_uri(_uri(self.options["path"]))
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".pdf") and (self.path is None or f.path == self.path))
-        return [Files(tuple(paths[i : i + FILES_PER_TASK])) for i in range(0, len(paths), FILES_PER_TASK)]
+        sizes = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.endswith(".pdf") and (self.path is None or f.path == self.path))
+        tasks, paths, total = [], [], 0
+        for path, size in sizes:
+            if paths and (total + size > TASK_BYTES or len(paths) == TASK_FILES):
+                tasks.append(Files(tuple(paths)))
+                paths, total = [], 0
+            paths.append(path)
+            total += min(size, MAX_FILE)
+        return [*tasks, Files(tuple(paths))] if paths else tasks
 
     def read(self, partition: Files):
         from pyarrow import fs
 
-        from sheaf.sources.syntax import Fault
+        from sheaf.sources.syntax import code_of
 
         system, _ = fs.FileSystem.from_uri(_uri(self.options["path"]))
         table = self.options.get("table", "pages")
         width = TABLES[table].count(",") - 1
         for path in partition.paths:
-            with system.open_input_stream(path) as file:
-                data = file.read()
+            if (system.get_file_info(path).size or 0) > MAX_FILE:
+                yield (path, *[None] * width, "limit")
+                continue
             try:
+                with system.open_input_stream(path) as file:
+                    data = file.read()
                 for row in self._rows(table, data):
                     yield (path, *row, None)
-            except Fault as fault:
-                yield (path, *[None] * width, fault.code)
+            except Exception as error:
+                yield (path, *[None] * width, code_of(error))
 
     def _rows(self, table: str, data: bytes):
         from sheaf.operators import text
@@ -127,48 +145,72 @@ class PdfReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    paths: tuple[str, ...]
+    files: tuple[tuple[str, str], ...]  # where a file stands, and the name it is to have
 
 
 class PdfWriter(DataSourceWriter):
-    """A row's content to <path>/<name>.pdf; the name is doc_id where that is plain, else with a digest of it.
+    """A row's content to <path>/<name>.pdf; the name is doc_id where that is plain, else a digest of it.
 
-    A task writes whole files only, under names that are the same in each attempt, so one that is run again writes the
-    same files. If the job fails, what other tasks wrote is taken back.
+    Tasks write under names of their own into a folder beside; only when all have ended are the files moved to their
+    names. So a task may run twice, and a job that fails leaves what stood there as it was. Where a name is taken, by
+    another row or by a file from before, the next free of name~2, name~3 and so on is used: no row is lost.
     """
 
-    def __init__(self, options, schema):
-        self.options = options
+    def __init__(self, options, schema, overwrite: bool = False):
+        self.options, self.overwrite = options, overwrite
         names = [f.name for f in schema.fields]
         self.key, self.content = names.index("doc_id"), names.index("content")
+        self.folder = f"_staged-{uuid.uuid4().hex}"  # made on the driver, so one for the job
 
-    def write(self, rows) -> Written:
+    def _place(self):
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(_uri(self.options["path"]))
-        system.create_dir(root, recursive=True)
-        paths = []
+        return system, root, posixpath.join(root, self.folder)
+
+    def write(self, rows) -> Written:
+        system, _, staged = self._place()
+        system.create_dir(staged, recursive=True)
+        files = []
         for row in rows:
             if row[self.content] is None:
                 continue
             key = str(row[self.key])
             plain = all(c.isalnum() or c in "-_" for c in key) and 0 < len(key) < 100
-            path = posixpath.join(root, (key if plain else hashlib.sha256(key.encode()).hexdigest()) + ".pdf")
+            path = posixpath.join(staged, uuid.uuid4().hex)
             with system.open_output_stream(path) as file:
                 file.write(bytes(row[self.content]))
-            paths.append(path)
-        return Written(tuple(paths))
+            files.append((path, key if plain else hashlib.sha256(key.encode()).hexdigest()))
+        return Written(tuple(files))
 
     def commit(self, messages) -> None:
-        return None
+        from pyarrow import fs
+
+        system, root, staged = self._place()
+        system.create_dir(root, recursive=True)
+        before = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".pdf")]
+        taken = set() if self.overwrite else {posixpath.basename(p) for p in before}
+        moves = []
+        for path, name in sorted((f for m in messages if m for f in m.files), key=lambda f: f[1]):
+            final, n = f"{name}.pdf", 1
+            while final in taken:
+                n += 1
+                final = f"{name}~{n}.pdf"
+            taken.add(final)
+            moves.append((path, posixpath.join(root, final)))
+        with ThreadPoolExecutor(MOVERS) as movers:
+            if self.overwrite:
+                list(movers.map(system.delete_file, before))
+            list(movers.map(lambda m: system.move(*m), moves))
+        if system.get_file_info(staged).type == fs.FileType.Directory:
+            system.delete_dir(staged)
 
     def abort(self, messages) -> None:
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(_uri(self.options["path"]))
-        for message in messages:
-            for path in message.paths if message else ():
-                system.delete_file(path)
+        system, _, staged = self._place()
+        if system.get_file_info(staged).type == fs.FileType.Directory:
+            system.delete_dir(staged)
 
 
 def _uri(path: str) -> str:

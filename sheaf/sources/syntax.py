@@ -23,6 +23,11 @@ class Fault(ValueError):
         return Fault, (self.code, self.message, self.offset)
 
 
+def code_of(error: Exception) -> str:
+    """The code that goes into a row for what went wrong with its document: never a failed job."""
+    return error.code if isinstance(error, Fault) else "limit" if isinstance(error, (RecursionError, MemoryError)) else "internal"
+
+
 class Name(str):
     """A name; each character is a byte. Never equal to a string, as strings are bytes."""
 

@@ -260,3 +260,12 @@ def test_cyclic_tree():
     root = d.catalog["Pages"]
     d.update(root, Kids=[root, *d.array(d.dictionary(root)["Kids"]), 5])
     assert len(d.page_refs()) == 1 and isinstance(root, Ref)
+
+
+def test_search_ignoring_case_by_characters():
+    def found(shown, needle):
+        chars = [text.Char(c, float(i), 0.0, 1.0, 1.0) for i, c in enumerate(shown)]
+        return [(a, b, t) for a, b, _, t in text.search([[[chars]]], needle, True)]
+
+    assert found("HELLO\u0130hello", "hello") == [(0, 5, "HELLO"), (6, 11, "hello")]
+    assert found("x\u0130y", "i\u0307y") == [(1, 3, "\u0130y")] and found("abc", "") == []

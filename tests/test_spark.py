@@ -74,6 +74,72 @@ def test_files_and_source(spark, tmp_path):
     assert spark.read.format("pdf").option("table", "objects").load(f"{target}/a.pdf").where("kind = 'stream'").count() == 1
 
 
+def test_written_rows_are_not_lost(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    os.makedirs(target)
+    (tmp_path / "out" / "1.pdf").write_bytes(b"stood here before")
+    docs = D.author_documents(spark.createDataFrame([("1", "first"), ("1", "second"), ("2", "third"), ("2", "third")], "doc_id string, text string"))
+    pdf.register(spark)
+    pdf.write_files(docs.repartition(4), target)
+    assert sorted(os.listdir(target)) == ["1.pdf", "1~2.pdf", "1~3.pdf", "2.pdf", "2~2.pdf"]
+    found = sorted(str(r["text"]) for r in spark.read.format("pdf").load(target).collect())
+    assert found == ["None", "first", "second", "third", "third"] and (tmp_path / "out" / "1.pdf").read_bytes() == b"stood here before"
+    failing = docs.withColumn("content", F.when(F.col("doc_id") == "2", F.expr("raise_error('no')")).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        pdf.write_files(failing, target)
+    assert sorted(os.listdir(target)) == ["1.pdf", "1~2.pdf", "1~3.pdf", "2.pdf", "2~2.pdf"]
+    docs.select("doc_id", "content").limit(1).write.format("pdf").mode("overwrite").save(target)
+    assert os.listdir(target) == ["1.pdf"]
+
+
+def test_large_files_are_a_row_with_a_code(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 " + b"x" * 500)
+    (tmp_path / "b.pdf").write_bytes(b"nothing")
+    monkeypatch.setattr(pdf, "MAX_FILE", 100)
+    found = {r["doc_id"][-5:]: r["error"] for r in D.pages_of(pdf.read_files(spark, str(tmp_path))).collect()}
+    assert found["a.pdf"] == "limit" and found["b.pdf"] not in (None, "limit")
+
+
+def test_counting_partitions_runs_nothing(spark):
+    from sheaf.session import spread
+
+    tracker, docs = spark.sparkContext.statusTracker(), spark.read.parquet(f"{SF}/documents.parquet")
+    spark.sparkContext.setJobGroup("spread", "none of these may run")
+    shuffled = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    joined = shuffled.join(spark.range(7), F.col("k") == F.col("id"))
+    assert spread(shuffled) is shuffled and spread(joined) is joined and spread(spark.range(9).coalesce(1).select("id")) is not None
+    wide = spread(docs.select("text"))
+    assert list(tracker.getJobIdsForGroup("spread")) == []
+    spark.sparkContext.setJobGroup("", "")
+    assert wide.rdd.getNumPartitions() >= 4
+
+
+def test_malformed_documents_are_rows(spark):
+    from sheaf.functions import crypto
+    from sheaf.operators.author import document_of
+    from sheaf.sources.syntax import Fault
+
+    sealed = document_of("secret words").save(crypto.protect("aes128", "u", "o"))
+    broken = [sealed.replace(b"/R 4", b"/R /X"), sealed.replace(b"/V 4", b"/V (4)"), sealed.replace(b"/P -4", b"/P 1e9999"), sealed.replace(b"/O (", b"/O 7 (")]
+    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*broken, sealed])], "doc_id long, content binary")
+    found = {r["doc_id"]: (r["text"], r["error"]) for r in D.page_texts_of(frame, password="u").collect()}
+    assert found[4] == ("secret words", None) and found[0] == (None, "crypto") and all(e for i, (_, e) in found.items() if i < 4)
+
+    def fails(data):
+        yield (1,)
+        raise {0: TypeError, 1: MemoryError, 2: RecursionError}.get(len(data), Fault)(*(["own", "message"] if len(data) > 2 else []))
+
+    bad = spark.createDataFrame([(i, bytearray(b"x" * i)) for i in range(4)], "doc_id long, content binary")
+    assert rows(D.per_document(bad, fails, "n int").where("error is not null")) == [(0, None, "internal"), (1, None, "limit"), (2, None, "limit"), (3, None, "own")]
+
+
+def test_names_at_any_depth(spark):
+    chain = [(0, i, i - 1 if i else None, f"p{i}") for i in range(300)] + [(1, 1, 2, "a"), (1, 2, 1, "b"), (1, 3, 9, "c"), (1, 4, 3, None), (1, 5, 4, "d")]
+    found = {(r["doc_id"], r["node"]): r["name"] for r in R.qualified_names(spark.createDataFrame(chain, "doc_id int, node int, parent int, part string")).collect()}
+    assert len(found) == 305 and all(found[0, i] == ".".join(f"p{j}" for j in range(i + 1)) for i in range(300))
+    assert [found[1, i] for i in range(1, 6)] == [None, None, "c", "c", "c.d"]
+
+
 def test_streamed_files(spark, tmp_path):
     from sheaf.streaming import streams
 

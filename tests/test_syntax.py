@@ -138,6 +138,37 @@ def test_fuzz_repairs_or_faults():
                 pass
 
 
+def test_mutated_encrypted_documents_fault():
+    """Values of another type, numbers out of range and changed bytes: a document opens or faults, and nothing else."""
+    import re
+
+    from sheaf.functions import crypto
+    from sheaf.operators import author, text
+
+    rng = random.Random(0xBADF00D)
+    bases = [author.document_of("hello world " * 9, "T", packed).save(crypto.protect(method, "u", "o")) for method in ("rc4_40", "rc4_128", "aes128", "aes256") for packed in (False, True)]
+    others = [b"/X", b"(s)", b"[1 2]", b"<<>>", b"null", b"true", b"-1", b"99999999999", b"1.5", b"9 0 R", b"<</A 1>>"]
+    opened = 0
+    for _ in range(400):
+        data = bytearray(rng.choice(bases))
+        for _ in range(rng.randrange(1, 5)):
+            if rng.random() < 0.6:
+                value = rng.choice(list(re.finditer(rb"/[A-Za-z]+ (\S+)", data)))
+                data[value.start(1) : value.end(1)] = rng.choice(others)
+            else:
+                data[rng.randrange(len(data))] = rng.randrange(256)
+        try:
+            d = Document(bytes(data), "u")
+            for ref in d.page_refs():
+                text.page_text(d, d.dictionary(ref))
+            for number in d.numbers():
+                d.get(number)
+            opened += 1
+        except Fault:
+            pass
+    assert opened > 20
+
+
 def test_runs_and_garbage():
     assert runs([5, 1, 2, 3, 9]) == [(1, 3), (5, 1), (9, 1)]
     d = Document(MINIMAL)
