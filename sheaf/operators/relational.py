@@ -126,16 +126,16 @@ def qualified_names(nodes: DataFrame, doublings: int = NAME_DOUBLINGS) -> DataFr
     Each round a node takes over the way that the ancestor it has reached knows, so its way doubles. A parent that isn't
     there ends the way as a root does. Nodes on a cycle, or of more than 2**doublings ancestors, get a null name.
     """
-    known = nodes.select("doc_id", F.col("node").alias("there")).distinct()
-    start = nodes.join(known, (nodes["doc_id"] == known["doc_id"]) & (nodes["parent"] == known["there"]), "left")
-    now = checkpoint(start.select(nodes["doc_id"], "node", F.col("there").alias("above"), F.coalesce("part", F.lit("")).alias("name")))
+    known = nodes.select(F.col("doc_id").alias("d"), F.col("node").alias("there")).distinct()
+    start = nodes.join(known, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("there")), "left")
+    now = checkpoint(start.select("doc_id", "node", F.col("there").alias("above"), F.coalesce("part", F.lit("")).alias("name")))
     for _ in range(doublings):
         waiting = now.where("above is not null")
         if waiting.isEmpty():
             break
         up = now.select(F.col("doc_id").alias("d"), F.col("node").alias("reached"), F.col("above").alias("next"), F.col("name").alias("more"))
         longer = F.when(F.col("more") == "", F.col("name")).when(F.col("name") == "", F.col("more")).otherwise(F.concat_ws(".", "more", "name"))
-        further = waiting.join(up, (waiting["doc_id"] == up["d"]) & (waiting["above"] == up["reached"])).select("doc_id", "node", F.col("next").alias("above"), longer.alias("name"))
+        further = waiting.join(up, (F.col("doc_id") == F.col("d")) & (F.col("above") == F.col("reached"))).select("doc_id", "node", F.col("next").alias("above"), longer.alias("name"))
         now = checkpoint(now.where("above is null").unionByName(further))
     return now.select("doc_id", "node", F.when(F.col("above").isNull(), F.col("name")).alias("name"))
 
