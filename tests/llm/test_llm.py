@@ -636,12 +636,16 @@ def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now, rows = docs, pairs(docs)
     for name, stage in pipeline.STAGES[:-1]:
+        before = now.collect()
         after = stage(spark, now, SF)
         assert after.columns == docs.columns, name
         now = spark.createDataFrame(after.collect(), docs.schema)
         kept = dict(pairs(now))
         if name == "quality_rules":
-            assert all(not brute.quality(t)[5] for t in kept.values()) and {d for d, t in rows if not brute.quality(t)[5]} == set(kept)
+            far, failed = brute.quality_distances([(r["text"], r["lang"], r["source"]) for r in before], quality.MIN_GROUP, **HOW)
+            assert set(kept) == {r["doc_id"] for r, d, f in zip(before, far, failed, strict=True) if not f and d <= quality.CUTOFF}
+        elif name == "line_dedup":
+            assert kept == {r["doc_id"]: t for r, (t, _, _) in zip(before, brute.line_dedup([(r["source"], r["text"]) for r in before]), strict=True)}
         elif name == "near_dedup":
             groups = brute.simhash_components(rows)
             assert set(kept) == {d for d, _ in rows if groups[d][1] == d}
@@ -653,6 +657,28 @@ def test_pipeline(spark, docs):
     assert found == {d: brute.bpe(t) for d, t in rows}
 
 
+def test_pipeline_on_odd_tables(spark, odd, docs, tmp_path):
+    """Null, repeated and empty rows, extra columns with clashing names, an empty table: each stage has a result."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs.sparkSession.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    more = spark.createDataFrame([(None, item), (None, "x y z " * 40), (3, item), (None, None)], SCHEMA)
+    extra = {c: F.lit(v) for c, v in (("lang", "en"), ("source", "s"), ("n_words", 7), ("kept", "x"), ("host", 1), ("row", 2), ("hits", 3), ("digest", 4), ("n_chars", 5))}
+    texts = odd.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(more).withColumns(extra)
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, texts.limit(0), str(tmp_path))
+        after = stage(spark, texts, str(tmp_path)).collect()
+        assert empty.count() == 0, name
+        if name == "tokens":
+            assert len(after) == texts.count()
+            continue
+        assert empty.columns == texts.columns
+        want = {"quality_rules": 0, "line_dedup": 24, "near_dedup": len({brute.simhash(t) for _, t in pairs(texts)}), "decontamination": 22}[name]
+        assert len(after) == want if name != "near_dedup" else len(after) <= want, (name, len(after))
+        if name == "decontamination":
+            assert item not in {r["text"] for r in after}
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c = "one two three four five six", "seven eight nine ten eleven", "red green blue and yellow too"
