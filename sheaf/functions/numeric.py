@@ -123,6 +123,16 @@ def sampled(samples: np.ndarray, sizes: list[int], bits: int, domain: list[float
     return run
 
 
+def sampled_column(x: Column, samples: list[float], bits: int, domain: tuple[float, float], out_range: tuple[float, float], encode: tuple[float, float] | None = None, decode: tuple[float, float] | None = None) -> Column:
+    """sampled() of one input and one output, as an expression."""
+    last = len(samples) - 1
+    e = clip_column(interpolate_column(clip_column(x, *domain), *domain, *(encode or (0.0, float(last)))), 0.0, float(last))
+    low = F.least(F.floor(e), F.lit(max(last - 1, 0))).cast("int")
+    grid = F.array(*map(F.lit, samples))
+    value = F.get(grid, low) + (e - low) * (F.get(grid, F.least(low + 1, F.lit(last))) - F.get(grid, low))
+    return clip_column(interpolate_column(value, 0.0, 2.0**bits - 1, *(decode or out_range)), *out_range)
+
+
 # -- type 4 -------------------------------------------------------------------------------------------
 
 

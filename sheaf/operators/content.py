@@ -121,6 +121,7 @@ class Item:
     paint: str = ""
     name: str | None = None
     image: object = None
+    line_width: float = 1.0
 
 
 class Interpreter:
@@ -229,7 +230,7 @@ class Interpreter:
             path.append(("close",))
         if op != "n" and path:
             rule = ("evenodd" if op.endswith("*") else "nonzero") if op not in ("S", "s") else ""
-            self.items.append(Item("path", s.ctm, path=path, paint=op, color=s.fill if rule else (), stroke=s.stroke if op in ("S", "s", "B", "B*", "b", "b*") else None, name=rule))
+            self.items.append(Item("path", s.ctm, path=path, paint=op, color=s.fill if rule else (), stroke=s.stroke if op in ("S", "s", "B", "B*", "b", "b*") else None, name=rule, line_width=s.line_width))
         return []
 
     def invoke(self, name: str, resources: dict, s: State, depth: int) -> None:

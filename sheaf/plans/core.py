@@ -33,12 +33,14 @@ def _open_with_password(row):
     return text.page_text(d, _first(d)), _code(lambda: Document(sealed, "no"))
 
 
-@row_query("src04_open_allowing_encrypted", "leaves int, readable boolean", "1 AS leaves, false AS readable")
+@row_query("src04_open_allowing_encrypted", "leaves int, readable boolean, title string", "1 + p_size % 3 AS leaves, false AS readable, p_name AS title")
 def _open_allowing_encrypted(row):
     """The graph can be walked without the key; what is enciphered stays so."""
-    sealed = author.document_of(row["p_name"], row["p_name"]).save(crypto.protect("rc4_128", "u", "o"))
+    d = pages.extract(_page(b""), [0] * (1 + row["p_size"] % 3))
+    forms.set_metadata(d, Title=row["p_name"])
+    sealed = d.save(crypto.protect("rc4_128", "u", "o"))
     d = Document(sealed, allow_encrypted=True)
-    return len(d.page_refs()), forms.metadata(d).get("Title") == row["p_name"]
+    return len(d.page_refs()), forms.metadata(d).get("Title") == row["p_name"], forms.metadata(Document(sealed, "u"))["Title"]
 
 
 @row_query("src08_xref_stream", "place int, kind int, generation int", "CAST(p_partkey AS INTEGER) AS place, 1 AS kind, p_size AS generation")
@@ -84,23 +86,25 @@ def _declared_count(row):
     return d.page_count(), len(d.page_refs())
 
 
-@row_query("src29_parse_program", "depth int, broken string", "3 AS depth, 'function' AS broken")
+@row_query("src29_parse_program", "depth int, broken string", "1 + p_size % 4 AS depth, CASE WHEN p_size % 2 = 0 THEN 'function' END AS broken")
 def _parse_program(row):
-    program = numeric.parse_program(b"{ dup %d gt { pop { 1 } } if }" % row["p_size"])
+    body = b"1"
+    for _ in range(row["p_size"] % 4):
+        body = b"dup 0 gt { %s } if" % body
     depth = lambda p: 1 + max([0, *(depth(x) for x in p if isinstance(x, list))])
-    return depth(program), _code(lambda: numeric.parse_program(b"{ 1"))
+    return depth(numeric.parse_program(b"{ %s }" % body)), _code(lambda: numeric.parse_program(b"{ %s" % body + b" }" * (row["p_size"] % 2)))
 
 
 # -- saving -------------------------------------------------------------------------------------------
 
 
-@row_query("snk01_save_modes", "same boolean, prefix boolean, refused string", "true AS same, true AS prefix, 'residue' AS refused")
+@row_query("snk01_save_modes", "turned int, turned_incrementally int, prefix boolean, refused string", "p_size % 3 * 90 + 90 AS turned, p_size % 3 * 90 + 90 AS turned_incrementally, true AS prefix, CASE WHEN p_size % 2 = 0 THEN 'residue' END AS refused")
 def _save_modes(row):
     d = Document(author.document_of(row["p_name"]).save())
-    pages.rotate(d, 0, 90)
-    saved = [Document(b) for b in (d.save(), d.save_incremental())]
-    same = all(x.attributes(_first(x))["rotate"] == 90 for x in saved)
-    return same, d.save_incremental().startswith(d.data), _code(lambda: d.save_sanitized([row["p_name"].encode()]))
+    pages.rotate(d, 0, row["p_size"] % 3 * 90 + 90)
+    turned = [x.attributes(_first(x))["rotate"] for x in (Document(b) for b in (d.save(), d.save_incremental()))]
+    banned = row["p_name"].encode() if row["p_size"] % 2 == 0 else b"not in it"
+    return *turned, d.save_incremental().startswith(d.data), _code(lambda: d.save_sanitized([banned]))
 
 
 @row_query("snk06_tokens", "name string, real string, text string", "'/a#2Fb' AS name, p_size || '.5' AS real, '(' || p_name || ')' AS text")
@@ -130,20 +134,20 @@ def _decoded_data(row):
     return d.decoded(stream).decode(), _code(lambda: d.decoded(Stream({"Filter": Name("DCTDecode")}, b"")))
 
 
-@row_query("prj10_annotation_list", "n int, last string", "2 AS n, 'Square' AS last")
+@row_query("prj10_annotation_list", "n int, last string", "1 + p_size % 3 AS n, ['Text', 'Square', 'Circle'][1 + p_size % 3] AS last")
 def _annotation_list(row):
     d = _page(b"")
-    for kind in ("text", "square"):
+    for kind in ("text", "square", "circle")[: 1 + row["p_size"] % 3]:
         forms.add_annotation(d, d.page_refs()[0], kind, [0, 0, row["p_size"], 9])
     found = forms.annotation_refs(d, d.page_refs()[0])
     return len(found), str(d.dictionary(found[-1])["Subtype"])
 
 
-@row_query("prj12_terminal_fields", "names string", "'a.b,a.c,d' AS names")
+@row_query("prj12_terminal_fields", "names string", "p_brand || '.b,' || p_brand || '.' || p_name || ',' || p_type AS names")
 def _terminal_fields(row):
     d = Document()
-    kids = [d.add({"T": t}) for t in (b"b", b"c")]
-    top = [d.add({"T": b"a", "Kids": kids}), d.add({"T": b"d", "FT": Name("Tx")})]
+    kids = [d.add({"T": t}) for t in (b"b", row["p_name"].encode())]
+    top = [d.add({"T": row["p_brand"].encode(), "Kids": kids}), d.add({"T": row["p_type"].encode(), "FT": Name("Tx")})]
     d.update(d.trailer["Root"], AcroForm={"Fields": top})
     return (",".join(f.name for f in forms.fields(d)),)
 
@@ -155,38 +159,43 @@ def _field_named(row):
     return forms.field_named(d, row["p_brand"]).value, forms.field_named(d, "none") is None
 
 
-@row_query("prj16_widgets", "own int, kids int", "1 AS own, 2 AS kids")
+@row_query("prj16_widgets", "own int, kids int", "1 AS own, 1 + p_size % 4 AS kids")
 def _widgets(row):
     d = _page(b"")
     forms.add_field(d, d.page_refs()[0], "own", [0, 0, 9, 9])
-    kids = [d.add({"Subtype": Name("Widget")}) for _ in range(2)]
+    kids = [d.add({"Subtype": Name("Widget")}) for _ in range(1 + row["p_size"] % 4)]
     form = d.catalog["AcroForm"]
     d.update(form, Fields=[*d.array(d.dictionary(form)["Fields"]), d.add({"T": b"kids", "FT": Name("Btn"), "Kids": kids})])
     return tuple(len(f.widgets) for f in forms.fields(d))
 
 
-@row_query("prj19_catalog", "kind string, root int", "'Catalog' AS kind, 2 AS root")
+@row_query("prj19_catalog", "kind string, root int, lang string", "'Catalog' AS kind, CAST(3 + p_size % 3 AS INTEGER) AS root, p_name AS lang")
 def _catalog(row):
     d = Document()
-    return str(d.catalog["Type"]), d.trailer["Root"].number
+    root = d.add({"Type": Name("Catalog"), "Pages": d.catalog["Pages"], "Lang": row["p_name"].encode()})
+    for _ in range(row["p_size"] % 3):
+        root = d.add({**d.dictionary(root)})
+    d.trailer["Root"] = root
+    return str(d.catalog["Type"]), d.trailer["Root"].number, d.catalog["Lang"].decode()
 
 
 # -- functions, colours, fonts ------------------------------------------------------------------------
 
 
-@row_query("fn10_filter_chain", "chain string", "'Fl:12,AHx:1' AS chain")
+@row_query("fn10_filter_chain", "chain string", "'Fl:' || (10 + p_size % 6) || ',AHx:1' || CASE WHEN p_size % 2 = 0 THEN ',RL:1' ELSE '' END AS chain")
 def _filter_chain(row):
-    found = codecs.chain_of({"Filter": [Name("Fl"), Name("AHx")], "DecodeParms": [{"Predictor": 12}, None]})
+    names = [Name("FlateDecode"), Name("AHx"), *[Name("RunLengthDecode")] * (1 - row["p_size"] % 2)]
+    found = codecs.chain_of({"Filter": names, "DecodeParms": [{"Predictor": 10 + row["p_size"] % 6}, None]})
     return (",".join(f"{n}:{p.get('Predictor', 1)}" for n, p in found),)
 
 
-@row_query("fn34_parse_functions", "y string, unknown string", "'0.5,0.5,1.0' AS y, 'unsupportedFeature' AS unknown")
+@row_query("fn34_parse_functions", "two double, zero double, four double, unknown string", "round(CAST(p_size / 50.0 AS DOUBLE), 6) AS two, round(CAST(p_size / 50.0 AS DOUBLE), 6) AS zero, round(CAST(least(1, p_size / 25.0) AS DOUBLE), 6) AS four, 'unsupportedFeature' AS unknown")
 def _parse_functions(row):
-    d = Document()
+    d, x = Document(), row["p_size"] / 50
     two = {"FunctionType": 2, "N": 1, "Domain": [0, 1]}
     zero = Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [2], "BitsPerSample": 8}, b"\x00\xff")
     four = Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1]}, b"{ 2 mul }")
-    return ",".join(str(numeric.function_of(d, f)([0.5])[0]) for f in (two, zero, four)), _code(lambda: numeric.function_of(d, {"FunctionType": 1}))
+    return *(round(numeric.function_of(d, f)([x])[0], 6) for f in (two, zero, four)), _code(lambda: numeric.function_of(d, {"FunctionType": 1}))
 
 
 @row_query("fn37_rgb", "r double", "CAST(p_size / 50.0 AS DOUBLE) AS r")
@@ -194,12 +203,12 @@ def _rgb(row):
     return (colour.space_of(Document(), [Name("CalRGB"), {"Gamma": [2, 2, 2]}]).rgb([row["p_size"] / 50, 0, 1])[0],)
 
 
-@row_query("fn40_icc", "families string", "'1,3,4,1' AS families")
+@row_query("fn40_icc", "n int, r double", "[1, 3, 4, 1][1 + p_size % 4] AS n, round(CAST(CASE WHEN p_size % 4 = 2 THEN (1 - p_size / 50.0) * (1 - p_size / 50.0) ELSE p_size / 50.0 END AS DOUBLE), 6) AS r")
 def _icc(row):
     """By the alternate space, else by the number of components; the profile isn't read."""
-    d = Document()
-    spaces = [[Name("ICCBased"), Stream({"N": n, **more}, b"profile")] for n, more in ((1, {}), (3, {}), (4, {}), (1, {"Alternate": Name("DeviceGray")}))]
-    return (",".join(str(colour.space_of(d, s).n) for s in spaces),)
+    n, more = ((1, {}), (3, {}), (4, {}), (1, {"Alternate": Name("DeviceGray")}))[row["p_size"] % 4]
+    space = colour.space_of(Document(), [Name("ICCBased"), Stream({"N": n, **more}, b"profile")])
+    return space.n, round(space.rgb([row["p_size"] / 50] * n)[0], 6)
 
 
 @row_query("fn43_pattern_space", "based double, bare double", "CAST(p_size / 50.0 AS DOUBLE) AS based, CAST(0 AS DOUBLE) AS bare")
@@ -214,9 +223,10 @@ def _codes(row):
     return len(fonts.Font(d, {"Subtype": Name("Type1")}).glyphs(data)), len(fonts.Font(d, {"Subtype": Name("Type0")}).glyphs(data))
 
 
-@row_query("fn54_differences", "text string", "'é' || chr(66) || '7' AS text")
+@row_query("fn54_differences", "text string", "['é', '7', '&'][1 + p_size % 3] || chr(66) || '7' AS text")
 def _differences(row):
-    font = fonts.Font(Document(), {"Subtype": Name("Type1"), "Encoding": {"Differences": [65, Name("eacute"), 67, Name("seven")]}})
+    first = Name(("eacute", "seven", "ampersand")[row["p_size"] % 3])
+    font = fonts.Font(Document(), {"Subtype": Name("Type1"), "Encoding": {"Differences": [65, first, 67, Name("seven")]}})
     return ("".join(g[2] for g in font.glyphs(b"ABC")),)
 
 
@@ -227,26 +237,29 @@ def _cmap_order(row):
     return cmap.cid(300, 2), cmap.cid(row["p_size"], 2), cmap.cid(999, 2)
 
 
-@row_query("fn57_helvetica", "base string, encoding string", "'Helvetica' AS base, 'WinAnsiEncoding' AS encoding")
+@row_query("fn57_helvetica", "base string, encoding string, text string", "'Helvetica' AS base, 'WinAnsiEncoding' AS encoding, p_name || 'é' AS text")
 def _helvetica(row):
     font = fonts.helvetica()
-    return str(font["BaseFont"]), str(font["Encoding"])
+    shown = fonts.Font(Document(), font).glyphs((row["p_name"] + "é").encode("cp1252"))
+    return str(font["BaseFont"]), str(font["Encoding"]), "".join(g[2] for g in shown)
 
 
 # -- crypto -------------------------------------------------------------------------------------------
 
 
-@row_query("fn62_encryption_entries", "versions string, other string", "'1.2,2.3,4.4,5.6' AS versions, 'unsupportedFeature' AS other")
+@row_query("fn62_encryption_entries", "version string, other string", "['1.2', '2.3', '4.4', '5.6'][1 + p_size % 4] AS version, CASE WHEN p_size % 2 = 0 THEN 'unsupportedFeature' ELSE 'crypto' END AS other")
 def _encryption_entries(row):
-    made = [crypto.protect(m, row["p_brand"], "o").entries for m in ("rc4_40", "rc4_128", "aes128", "aes256")]
-    sealed = Document().save(crypto.protect("rc4_40", "u", "o")).replace(b"/Filter /Standard", b"/Filter /Elsewhere")
-    return ",".join(f"{e['V']}.{e['R']}" for e in made), _code(lambda: Document(sealed, "u"))
+    made = crypto.protect(("rc4_40", "rc4_128", "aes128", "aes256")[row["p_size"] % 4], row["p_brand"], "o").entries
+    changed = (b"/Filter /Standard", b"/Filter /Elsewhere") if row["p_size"] % 2 == 0 else (b"/R 2", b"/R /Two")
+    sealed = Document().save(crypto.protect("rc4_40", "u", "o")).replace(*changed)
+    return f"{made['V']}.{made['R']}", _code(lambda: Document(sealed, "u"))
 
 
-@row_query("fn64_hash_r6", "size int, same boolean, other boolean", "32 AS size, true AS same, true AS other")
+@row_query("fn64_hash_r6", "size int, same boolean, salted boolean", "32 AS size, p_size % 3 = 0 AS same, p_size % 2 = 0 AS salted")
 def _hash_r6(row):
-    one, again, other = (crypto.hash_r6(p, b"saltsalt") for p in (row["p_name"].encode(), row["p_name"].encode(), b"?"))
-    return len(one), one == again, one != other
+    """Equal for equal passwords and salts only."""
+    found = crypto.hash_r6(b"p%d" % (row["p_size"] % 3), b"saltsalt")
+    return len(found), found == crypto.hash_r6(b"p0", b"saltsalt"), crypto.hash_r6(row["p_name"].encode(), b"salt%d" % (row["p_size"] % 2)) == crypto.hash_r6(row["p_name"].encode(), b"salt0")
 
 
 @row_query("fn67_object_cipher", "text string, raw string, differs boolean", "p_name AS text, p_brand AS raw, true AS differs")
@@ -293,15 +306,16 @@ def _samples(row):
     return (",".join(str(int(v)) for v in found.ravel()),)
 
 
-@row_query("fn74_pixels", "size int, first string", "8 AS size, 'ff' AS first")
+@row_query("fn74_pixels", "size int, first string", "4 * (1 + p_size % 3) AS size, CASE WHEN p_size % 2 = 0 THEN 'ff' ELSE '00' END AS first")
 def _pixels(row):
-    raster = images.decode(Document(), _image(b"\xff\x00"))
+    raster = images.decode(Document(), _image((b"\xff", b"\x00")[row["p_size"] % 2] * 3, Width=1 + row["p_size"] % 3))
     return len(raster.tobytes()), raster.tobytes()[:1].hex()
 
 
-@row_query("fn75_unsupported_images", "codes string", "'unsupportedFeature,unsupportedFeature' AS codes")
+@row_query("fn75_unsupported_images", "code string", "CASE WHEN p_size % 3 < 2 THEN 'unsupportedFeature' END AS code")
 def _unsupported_images(row):
-    return (",".join(_code(lambda f=f: images.decode(Document(), _image(b"", Filter=Name(f)))) for f in ("DCTDecode", "JPXDecode")),)
+    more = ({"Filter": Name("DCTDecode")}, {"Filter": Name("JPXDecode")}, {})[row["p_size"] % 3]
+    return (_code(lambda: images.decode(Document(), _image(b"ab", **more))),)
 
 
 # -- content ------------------------------------------------------------------------------------------
@@ -314,44 +328,49 @@ def _state_stack(row):
     return (",".join(str(round(i.glyphs[0].x)) for i in items),)
 
 
-@row_query("ct03_line_width", "items int", "1 AS items")
+@row_query("ct03_line_width", "widths string", "(p_size + 1) || ',' || p_size AS widths")
 def _line_width(row):
-    return (len(_items(b"%d w /G0 gs 0 0 m 1 1 l S" % row["p_size"])),)
+    """A width holds until the state that it belongs to ends."""
+    items = _items(b"%d w /G0 gs q %d w 0 0 m 1 1 l S Q 0 0 m 1 1 l S" % (row["p_size"], row["p_size"] + 1))
+    return (",".join(str(int(i.line_width)) for i in items),)
 
 
-@row_query("ct05_painting", "paints string, filled string", "'f,F,f*,S,s,B,B*,b,b*' AS paints, 'nonzero,nonzero,evenodd,,,nonzero,evenodd,nonzero,evenodd' AS filled")
+@row_query("ct05_painting", "paint string, rule string", "['f', 'F', 'f*', 'S', 's', 'B', 'B*', 'b', 'b*', NULL][1 + p_size % 10] AS paint, ['nonzero', 'nonzero', 'evenodd', '', '', 'nonzero', 'evenodd', 'nonzero', 'evenodd', NULL][1 + p_size % 10] AS rule")
 def _painting(row):
-    ops = [b"f", b"F", b"f*", b"S", b"s", b"B", b"B*", b"b", b"b*", b"n"]
-    items = _items(b" ".join(b"0 0 m %d 1 l " % row["p_size"] + op for op in ops) + b" 0 0 m W n")
-    return ",".join(i.paint for i in items), ",".join(i.name for i in items)
+    op = (b"f", b"F", b"f*", b"S", b"s", b"B", b"B*", b"b", b"b*", b"n")[row["p_size"] % 10]
+    items = _items(b"0 0 m %d 1 l %s 0 0 m W n" % (row["p_size"], op))
+    return (items[0].paint, items[0].name) if items else (None, None)
 
 
 # -- edits --------------------------------------------------------------------------------------------
 
 
-@row_query("mu07_appearance_states", "states string, shown string", "'Off,Yes' AS states, 'Off' AS shown")
+@row_query("mu07_appearance_states", "states string, shown string", "'Off,S' || p_size AS states, CASE WHEN p_size % 2 = 0 THEN 'S' || p_size ELSE 'Off' END AS shown")
 def _appearance_states(row):
-    d = _page(b"")
-    ref = forms.add_field(d, d.page_refs()[0], row["p_brand"], [0, 0, 9, 9], "Btn", states=("Yes",))
+    d, state = _page(b""), f"S{row['p_size']}"
+    ref = forms.add_field(d, d.page_refs()[0], row["p_brand"], [0, 0, 9, 9], "Btn", states=(state,))
+    if row["p_size"] % 2 == 0:
+        forms.set_value(d, forms.field_named(d, row["p_brand"]), state)
     entries = d.dictionary(ref)
     return ",".join(sorted(d.dictionary(d.dictionary(entries["AP"])["N"]))), str(entries["AS"])
 
 
-@row_query("mu11_need_appearances", "value boolean", "true AS value")
+@row_query("mu11_need_appearances", "value boolean", "CASE WHEN p_size % 2 = 0 THEN true END AS value")
 def _need_appearances(row):
     d = _page(b"")
     forms.add_field(d, d.page_refs()[0], row["p_brand"], [0, 0, 9, 9])
-    forms.need_appearances(d)
-    return (d.dictionary(d.catalog["AcroForm"])["NeedAppearances"],)
+    if row["p_size"] % 2 == 0:
+        forms.need_appearances(d)
+    return (d.dictionary(d.catalog["AcroForm"]).get("NeedAppearances"),)
 
 
-@row_query("mu14_read_marks", "quads int, rect int", "2 AS quads, 1 AS rect")
+@row_query("mu14_read_marks", "quads int, rect int, x1 double", "1 + p_size % 3 AS quads, 1 AS rect, CAST(p_size AS DOUBLE) AS x1")
 def _read_marks(row):
     d = _page(b"")
     page, n = d.page_refs()[0], float(row["p_size"])
-    two = redact.mark(d, page, [0, 0, n, n], quads=[[0, n, n, n, 0, 0, n, 0], [5, 9, 9, 9, 5, 5, 9, 5]])
+    many = redact.mark(d, page, [0, 0, n, n], quads=[[i, n, i + n, n, i, 0, i + n, 0] for i in range(1 + row["p_size"] % 3)])
     one = d.add({"Subtype": Name("Redact"), "Rect": [0, 0, n, n], "QuadPoints": [1, 2, 3]})
-    return len(redact.region_of(d, two).boxes), len(redact.region_of(d, one).boxes)
+    return len(redact.region_of(d, many).boxes), len(redact.region_of(d, one).boxes), redact.region_of(d, one).boxes[0][2]
 
 
 @row_query("mu15_excision", "text string, kept string", "'' AS text, p_brand AS kept")

@@ -10,7 +10,7 @@ from sheaf.operators import author, content, forms, pages, redact, text
 from sheaf.operators.documents import per_document
 from sheaf.plans.registry import query
 from sheaf.sources.document import Document
-from sheaf.sources.syntax import Name, Reader, Ref, Stream, format_indirect, format_name, format_string, format_value, kind_of, tokens
+from sheaf.sources.syntax import Fault, Name, Reader, Ref, Stream, format_indirect, format_name, format_string, format_value, kind_of, tokens
 
 
 def row_query(name: str, columns: str, oracle: str):
@@ -109,10 +109,10 @@ def _startxref(row):
     return (last_startxref(b"startxref 1\n%%%%EOF startxref\n%d\n%%%%EOF" % row["p_partkey"]),)
 
 
-@row_query("src21_content_tokens", "n int, last string", "6 AS n, 'Tj' AS last")
+@row_query("src21_content_tokens", "n int, shown string, last string", "6 + p_size % 5 AS n, '(' || p_name || ')' AS shown, CASE WHEN p_size % 5 = 0 THEN 'Tj' ELSE 'T*' END AS last")
 def _content_tokens(row):
-    found = list(tokens(b"BT /F1 %d Tf (%s) Tj" % (row["p_size"], row["p_name"].encode())))
-    return len(found), found[-1][2]
+    found = list(tokens(b"BT /F1 %d Tf (%s) Tj" % (row["p_size"], row["p_name"].encode()) + b" T*" * (row["p_size"] % 5)))
+    return len(found), found[4][2], found[-1][2]
 
 
 # -- graph --------------------------------------------------------------------------------------------
@@ -164,10 +164,10 @@ def _metadata(row):
     return again["Title"], "Author" not in again
 
 
-@row_query("st05_import_shares", "objects_once int, pages int", "4 AS objects_once, 3 AS pages")
+@row_query("st05_import_shares", "objects_once int, pages int", "4 AS objects_once, 1 + p_size % 4 AS pages")
 def _import_shares(row):
-    """A page taken three times: three leaves; its font and content are copied once."""
-    d = pages.extract(_page(b"BT ET"), [0, 0, 0])
+    """A page taken several times: as many leaves; its font and content are copied once."""
+    d = pages.extract(_page(b"BT ET"), [0] * (1 + row["p_size"] % 4))
     shared = {r.number for page in d.page_refs() for r in (d.dictionary(page)["Contents"], d.dictionary(d.dictionary(page)["Resources"])["Font"]["F1"])}
     return len(shared) + 2, len(d.page_refs())
 
@@ -218,9 +218,11 @@ def _forms(row):
     return items[0].glyphs[0].x, len(items)
 
 
-@row_query("ct12_marked_content", "kinds string", "'begin,shading,image,end' AS kinds")
+@row_query("ct12_marked_content", "kinds string, names string", "CASE WHEN p_size % 2 = 0 THEN 'begin,shading,image,end' ELSE 'begin,image,end' END AS kinds, CASE WHEN p_size % 2 = 0 THEN 'Span,S' || p_size ELSE 'Span' END AS names")
 def _marked(row):
-    return (",".join(i.kind for i in _items(b"/Span BMC /S%d sh BI /W 1 /H 1 ID x EI unknown EMC" % row["p_size"])),)
+    shading = b"/S%d sh" % row["p_size"] if row["p_size"] % 2 == 0 else b""
+    items = _items(b"/Span BMC %s BI /W 1 /H 1 ID x EI unknown EMC" % shading)
+    return ",".join(i.kind for i in items), ",".join(i.name for i in items if i.name)
 
 
 @row_query("ct15_append_content", "text string", "p_brand || chr(10) || p_name AS text")
@@ -237,9 +239,9 @@ def _columns(row):
     return (text.page_text(d, _first(d)),)
 
 
-@row_query("wn02_lines", "text string", "'a b' || chr(10) || 'c' AS text")
+@row_query("wn02_lines", "text string", "p_size || ' b' || chr(10) || p_brand AS text")
 def _one_line(row):
-    d = _page(b"BT /F1 10 Tf 30 702 Td (b) Tj ET BT /F1 10 Tf 20 700 Td (a) Tj ET BT /F1 10 Tf 20 690 Td (c) Tj ET")
+    d = _page(b"BT /F1 10 Tf 40 702 Td (b) Tj ET BT /F1 10 Tf 20 700 Td (%d) Tj ET BT /F1 10 Tf 20 690 Td (%s) Tj ET" % (row["p_size"], row["p_brand"].encode()))
     return (text.page_text(d, _first(d)),)
 
 
@@ -306,22 +308,21 @@ def _aes(row):
     return (aes.uncbc(aes.cbc(row["p_name"].ljust(64, ".").encode(), bytes(16)), bytes(16)).decode(),)
 
 
-@row_query("fn63_file_keys", "opened string", "'user,owner,none' AS opened")
+@row_query("fn63_file_keys", "opened string, code string", "CASE WHEN p_size % 3 < 2 THEN p_type END AS opened, CASE WHEN p_size % 3 = 2 THEN 'needsPassword' END AS code")
 def _file_keys(row):
-    sealed = Document().save(crypto.protect("rc4_40", row["p_brand"], row["p_name"], file_id=b"0123456789abcdef"))
-    out = []
-    for label, password in (("user", row["p_brand"]), ("owner", row["p_name"]), ("none", "?")):
-        try:
-            Document(sealed, password)
-            out.append(label)
-        except ValueError:
-            out.append("none")
-    return (",".join(out),)
-
-
-@row_query("fn70_masks", "alphas string", "'0,255,0,255' AS alphas")
+    """Opened by the user's password, by the owner's, and not by another."""
+    d = Document()
+    forms.set_metadata(d, Title=row["p_type"])
+    sealed = d.save(crypto.protect("rc4_40", row["p_brand"], row["p_name"], file_id=b"0123456789abcdef"))
+    try:
+        return forms.metadata(Document(sealed, (row["p_brand"], row["p_name"], "?")[row["p_size"] % 3]))["Title"], None
+    except Fault as fault:
+        return None, fault.code
+
+
+@row_query("fn70_masks", "alphas string", "CASE WHEN p_size % 2 = 0 THEN '0,255,0,255' ELSE '255,0,255,0' END AS alphas")
 def _masks(row):
-    stencil = Stream({"Width": 4, "Height": 1, "ImageMask": True}, b"\xa0")
+    stencil = Stream({"Width": 4, "Height": 1, "ImageMask": True, "Decode": [row["p_size"] % 2, 1 - row["p_size"] % 2]}, b"\xa0")
     return (",".join(map(str, images.decode(Document(), stencil).pixels[0, :, 3].tolist())),)
 
 
@@ -423,7 +424,10 @@ def _reverse(data: bytes) -> bytes:
     return data[::-1]
 
 
-@row_query("src05_empty_document", "pages int, text string", "1 AS pages, '' AS text")
+@row_query("src05_empty_document", "pages int, text string", "1 + p_size % 4 AS pages, '' AS text")
 def _empty(row):
-    d = Document(author.document_of("").save())
-    return len(d.page_refs()), text.page_text(d, _first(d))
+    d = author.document_of("")
+    for _ in range(row["p_size"] % 4):
+        pages.insert_blank(d, 0)
+    d = Document(d.save())
+    return len(d.page_refs()), "".join(text.page_text(d, d.dictionary(p)) for p in d.page_refs())

@@ -169,9 +169,13 @@ def _filter_kind(t):
     return t("part").select("p_partkey", F.explode(names).alias("name")).select("*", codecs.filter_kind(F.col("name")).alias("kind"))
 
 
-@query("fn11_unsupported", "SELECT p_partkey, 'unsupportedFeature' AS error FROM part")
+@query("fn11_unsupported", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'unsupportedFeature' END AS error, CASE WHEN p_size % 2 = 1 THEN p_name END AS text FROM part")
 def _unsupported(t):
-    return t("part").select("p_partkey", codecs.decoded(F.encode("p_name", "UTF-8"), [("Crypt9", {})])["error"].alias("error"))
+    """An unknown codec is a code in the row; in the same table other rows are decoded."""
+    name = F.encode("p_name", "UTF-8")
+    unknown, known = codecs.decoded(name, [("Crypt9", {})]), codecs.decoded(codecs.encoded(name, [("AHx", {})])["bytes"], [("AHx", {})])
+    even = F.col("p_size") % 2 == 0
+    return t("part").select("p_partkey", F.when(even, unknown["error"]).otherwise(known["error"]).alias("error"), F.when(~even, F.decode(known["bytes"], "UTF-8")).alias("text"))
 
 
 # -- geometry -----------------------------------------------------------------------------------------
@@ -260,15 +264,8 @@ def _stitching(t):
 
 @query("fn32_sampled", "WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 * 2 AS e FROM lineitem) SELECT l_orderkey, l_linenumber, round((CASE WHEN e < 1 THEN 10.0 + e * 190.0 ELSE 200.0 + (e - 1) * -150.0 END) / 255.0, 9) AS y FROM v")
 def _sampled(t):
-    import numpy as np
-
-    function = numeric.sampled(np.array([10.0, 200.0, 50.0]), [3], 8, [0.0, 1.0], [0.0, 1.0])
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: function([v])[0])
-
-    return _lines(t, F.round(run(F.col("l_quantity") / 50), 9).alias("y"))
+    y = numeric.sampled_column(F.col("l_quantity") / 50, [10.0, 200.0, 50.0], 8, (0.0, 1.0), (0.0, 1.0))
+    return _lines(t, F.round(y, 9).alias("y"))
 
 
 _PROGRAM = b"{ dup 25 gt { 50 exch sub } { 2 mul } ifelse 3 1 roll add sqrt mul dup 0 lt { neg } if }"
