@@ -344,9 +344,13 @@ def _display_items(t):
     return found.groupBy("doc_id", "kind").agg(F.sum(F.char_length(F.replace("text", F.lit(" "), F.lit("")))).alias("chars"))
 
 
-@query("ud04_object_kinds", "SELECT kind, count(*) AS documents FROM (SELECT unnest(['dictionary', 'stream']) AS kind FROM documents) GROUP BY kind")
+@query("ud04_object_kinds", "SELECT kind, count(*) AS documents FROM (SELECT unnest(['dictionary', 'stream']) AS kind FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'string' FROM documents WHERE text IS NOT NULL AND doc_id % 3 > 0 UNION ALL SELECT 'array' FROM documents WHERE text IS NOT NULL AND doc_id % 3 > 1) GROUP BY kind")
 def _object_kinds(t):
-    return D.objects_of(_authored(t)).where("error is null").select("doc_id", "kind").distinct().groupBy("kind").agg(F.count("*").alias("documents"))
+    """Objects of other kinds, put into some of the documents, are among their rows."""
+    def edit(k):
+        return lambda document: document.update(document.trailer["Root"], More=[document.add(v) for v in (b"text", [1, 2])[:k]])
+
+    return D.objects_of(_edited_by_id(_authored(t), 3, edit)).where("error is null").select("doc_id", "kind").distinct().groupBy("kind").agg(F.count("*").alias("documents"))
 
 
 @query("src10_never_fails", "SELECT doc_id, CASE WHEN text IS NULL OR doc_id % 5 = 4 THEN 'empty' WHEN doc_id % 5 = 0 THEN 'malformed' WHEN doc_id % 5 = 2 THEN 'crypto' END AS error, CASE WHEN text IS NOT NULL AND doc_id % 5 IN (1, 3) THEN doc_id % 5 = 1 END AS repaired FROM documents")

@@ -67,9 +67,10 @@ def _index_of(t):
     return t("documents").select("doc_id", scalar.index_of(F.col("text"), F.lit("tion")).alias("place"))
 
 
-@query("fn13_contains", "SELECT page_id, strpos(html, '<article>') > 0 AS found FROM pages")
+@query("fn13_contains", "SELECT page_id, strpos(html, '<article>') > 0 AS found, strpos(html, CAST(page_id % 10 AS VARCHAR) || 'a') > 0 AS own FROM pages")
 def _contains(t):
-    return t("pages").select("page_id", scalar.contains(F.col("html"), F.lit("<article>")).alias("found"))
+    own = F.concat((F.col("page_id") % 10).cast("string"), F.lit("a"))
+    return t("pages").select("page_id", scalar.contains(F.col("html"), F.lit("<article>")).alias("found"), scalar.contains(F.col("html"), own).alias("own"))
 
 
 @query("fn14_occurrences", "SELECT doc_id, CAST((length(text) - length(replace(text, 'an', ''))) / 2 AS INTEGER) AS n FROM documents")
@@ -156,9 +157,12 @@ _predictor("fn07_png_predictor", {"Predictor": 12, "Columns": 16})
 _predictor("fn07_png_predictor_bits", {"Predictor": 15, "Colors": 2, "BitsPerComponent": 4, "Columns": 20})
 
 
-@query("fn07_malformed", "SELECT doc_id, 'filter' AS error FROM documents")
+@query("fn07_malformed", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'filter' END AS error, CASE WHEN doc_id % 2 = 0 THEN text END AS text FROM documents")
 def _malformed(t):
-    return t("documents").select("doc_id", codecs.decoded(F.lit(b"not zlib at all"), [("FlateDecode", {})])["error"].alias("error"))
+    """Bytes that are no such stream are a code in their row; others are decoded."""
+    data = F.encode("text", "UTF-8")
+    out = codecs.decoded(F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit(b"no"), data)).otherwise(codecs.encoded(data, [("FlateDecode", {})])["bytes"]), [("FlateDecode", {})])
+    return t("documents").select("doc_id", out["error"].alias("error"), F.decode(out["bytes"], "UTF-8").alias("text"))
 
 
 @query("fn09_filter_kind", """
@@ -271,26 +275,18 @@ def _sampled(t):
 _PROGRAM = b"{ dup 25 gt { 50 exch sub } { 2 mul } ifelse 3 1 roll add sqrt mul dup 0 lt { neg } if }"
 
 
-def _calculated(name, compiled):
-    @query(name, "WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS a, l_tax * 100 AS b, l_quantity AS c FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(greatest((CASE WHEN c > 25 THEN 50 - c ELSE c * 2 END) * sqrt(a + b), 0.0), 500.0), 6) AS y FROM v")
+def _calculated(name, program, y):
+    @query(name, f"WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS a, l_tax * 100 AS b, l_quantity AS c FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(greatest({y}, 0.0), 500.0), 6) AS y FROM v")
     def run(t):
-        program, domain, out = numeric.parse_program(_PROGRAM), [0.0, 100.0] * 3, [0.0, 500.0]
         inputs = [F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_quantity")]
-        if compiled:
-            return _lines(t, F.round(numeric.calculator_column(program, inputs, domain, out)[0], 6).alias("y"))
-        function = numeric.calculator(program, domain, out)
-
-        @F.pandas_udf("double")
-        def udf(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series([function(list(v))[0] for v in zip(a, b, c, strict=True)])
-
-        return _lines(t, F.round(udf(*inputs), 6).alias("y"))
+        return _lines(t, F.round(numeric.calculator_column(numeric.parse_program(program), inputs, [0.0, 100.0] * 3, [0.0, 500.0])[0], 6).alias("y"))
 
     return run
 
 
-_calculated("fn35_calculator_compiled", True)
-_calculated("ud03_calculator_udf", False)
+_calculated("fn35_calculator_compiled", _PROGRAM, "(CASE WHEN c > 25 THEN 50 - c ELSE c * 2 END) * sqrt(a + b)")
+#: A user's own program, which becomes an expression like any other.
+_calculated("ud03_calculator", b"{ dup mul exch dup mul add sqrt exch 10 div floor add }", "sqrt(b * b + c * c) + floor(a / 10)")
 
 
 # -- colour -------------------------------------------------------------------------------------------
