@@ -88,6 +88,7 @@ class State:
     mode: int = 0
     tm: tuple = IDENTITY
     line: tuple = IDENTITY
+    clip: tuple = ()
 
     def next_line(self, x: float, y: float) -> None:
         self.line = times((1.0, 0.0, 0.0, 1.0, x, y), self.line)
@@ -122,6 +123,7 @@ class Item:
     name: str | None = None
     image: object = None
     line_width: float = 1.0
+    clip: tuple = ()  # of (steps, rule), all in force
 
 
 class Interpreter:
@@ -167,13 +169,14 @@ class Interpreter:
             glyphs.append(Glyph(code, text, at[0], at[1], x + end * m[0], y + end * m[1], width, n))
         s.tm = (a, b, c, d, e + moved * a, f + moved * b)
         if glyphs:
-            self.items.append(Item("text", s.ctm, glyphs, s.font_size, s.mode, s.fill))
+            self.items.append(Item("text", s.ctm, glyphs, s.font_size, s.mode, s.fill, clip=s.clip))
 
     def run(self, content: bytes, resources: dict, s: State, depth: int) -> None:
         if depth >= FORM_DEPTH:
             return
         stack: list[State] = []
         path: list = []
+        clips = ""  # the rule of a clip that the next painting operator brings into force
         for op, operands in lexemes(content):
             n = [float(o) if isinstance(o, (int, float)) and not isinstance(o, bool) else 0.0 for o in operands]
             if op in _SHOW:
@@ -197,7 +200,14 @@ class Interpreter:
             elif op == "Q":
                 s = stack.pop() if stack else s
             elif op in PATH_STEPS:
-                path = self.paint(op, path, s) if op in PAINT_OPERATORS else PATH_STEPS[op](path, n, s.ctm)
+                if op not in PAINT_OPERATORS:
+                    path = PATH_STEPS[op](path, n, s.ctm)
+                    continue
+                within = ((tuple(path), clips),) if clips and path else ()
+                path, clips = self.paint(op, path, s), ""
+                s.clip += within
+            elif op in ("W", "W*"):
+                clips = "evenodd" if op == "W*" else "nonzero"
             elif op in TEXT_STATE:
                 TEXT_STATE[op](s, n, operands)
             elif op == "Tf":
@@ -216,7 +226,7 @@ class Interpreter:
                 if operands and isinstance(operands[-1], Name):
                     self.invoke(operands[-1], resources, s, depth)
             elif op == "BI":
-                self.items.append(Item("image", s.ctm, image=Stream(operands[0], operands[1])))
+                self.items.append(Item("image", s.ctm, color=s.fill, image=Stream(operands[0], operands[1]), clip=s.clip))
             elif op == "sh":
                 if operands and isinstance(operands[-1], Name):
                     self.items.append(Item("shading", s.ctm, name=operands[-1]))
@@ -230,7 +240,7 @@ class Interpreter:
             path.append(("close",))
         if op != "n" and path:
             rule = ("evenodd" if op.endswith("*") else "nonzero") if op not in ("S", "s") else ""
-            self.items.append(Item("path", s.ctm, path=path, paint=op, color=s.fill if rule else (), stroke=s.stroke if op in ("S", "s", "B", "B*", "b", "b*") else None, name=rule, line_width=s.line_width))
+            self.items.append(Item("path", s.ctm, path=path, paint=op, color=s.fill if rule else (), stroke=s.stroke if op in ("S", "s", "B", "B*", "b", "b*") else None, name=rule, line_width=s.line_width, clip=s.clip))
         return []
 
     def invoke(self, name: str, resources: dict, s: State, depth: int) -> None:
@@ -238,7 +248,7 @@ class Interpreter:
         if not isinstance(target, Stream):
             return
         if target.entries.get("Subtype") == "Image":
-            self.items.append(Item("image", s.ctm, name=name, image=target))
+            self.items.append(Item("image", s.ctm, color=s.fill, name=name, image=target, clip=s.clip))
         elif target.entries.get("Subtype") == "Form":
             matrix = [self.document.number(x) for x in self.document.array(target.entries.get("Matrix"))]
             inner = replace(s)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sheaf.operators import author, content, forms, pages, redact, text
+from sheaf.operators import author, content, forms, pages, redact, render, text
 from sheaf.session import spread
 from sheaf.sources.document import Document, sections
 from sheaf.sources.syntax import Fault, Stream, code_of, format_value, kind_of, references, tokens
@@ -247,3 +247,12 @@ def redaction_regions_of(docs: DataFrame) -> DataFrame:
 
     return per_document(docs, _opened(run), "page_no int, seq int, x0 double, y0 double, x1 double, y1 double")
 
+
+def rendered_pages_of(docs: DataFrame, dpi: float = 72.0, password: str | None = None) -> DataFrame:
+    """Each page's pixels from the top: width, height and rgb, 3 bytes a pixel. A page above images.MAX_PIXELS is an error row."""
+    def run(d: Document):
+        for i, page in _leaves(d):
+            raster = render.render(d, page, dpi / 72)
+            yield i, raster.width, raster.height, raster.pixels[..., :3].tobytes()
+
+    return per_document(docs, _opened(run, password), "page_no int, width int, height int, rgb binary")

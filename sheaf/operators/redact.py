@@ -319,10 +319,17 @@ def _cover(document: Document, annotation: Ref):
     return rect, forms.form_xobject(document, rect, g.bytes(), resources) if fill or isinstance(overlay, bytes) else None
 
 
-def apply_all(document: Document, forbidden: list[bytes] = (), encryption=None, crossing: bool = True) -> bytes:
-    """All pages, then the save that fails if any forbidden bytes are left."""
+def apply_all(document: Document, forbidden: list[bytes] = (), encryption=None, crossing: bool = True, flatten_dpi: float | None = None) -> bytes:
+    """All pages, then the save that fails if any forbidden bytes are left.
+
+    With flatten_dpi each page then becomes a picture of itself, made after the removal: nothing on it can be selected.
+    """
     for page in document.page_refs():
         apply_page(document, page, crossing)
+        if flatten_dpi is not None:
+            from sheaf.operators import render
+
+            render.flatten(document, page, flatten_dpi)
     return document.save_sanitized(list(forbidden), encryption)
 
 

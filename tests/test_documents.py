@@ -2,7 +2,7 @@ import pytest
 
 from sheaf.functions import colour, crypto, fonts, images, numeric
 from sheaf.functions.fonts import CMap
-from sheaf.operators import author, content, forms, pages, redact, text
+from sheaf.operators import author, content, forms, pages, redact, render, text
 from sheaf.sources.document import Document
 from sheaf.sources.syntax import Fault, Name, Ref, Stream
 
@@ -269,3 +269,69 @@ def test_search_ignoring_case_by_characters():
 
     assert found("HELLO\u0130hello", "hello") == [(0, 5, "HELLO"), (6, 11, "hello")]
     assert found("x\u0130y", "i\u0307y") == [(1, 3, "\u0130y")] and found("abc", "") == []
+
+
+def pixels(body: bytes, media=(0, 0, 40, 30), scale=1.0, background=(1.0, 1.0, 1.0), **more):
+    d = one_page(body, **more.pop("resources", {}))
+    d.update(d.page_refs()[0], MediaBox=list(media), **more)
+    return render.render(d, d.dictionary(d.page_refs()[0]), scale, background=background).pixels
+
+
+def test_render_fills():
+    import numpy as np
+
+    p = pixels(b"1 0 0 rg 10 5 20 10 re f")
+    assert p.shape == (30, 40, 4) and (p[15:25, 10:30] == [255, 0, 0, 255]).all() and (p == 255).all(axis=-1).sum() == 1200 - 200
+    half = pixels(b"0 g 10 5 20.5 10 re f")[20, 30]
+    assert abs(int(half[0]) - 128) <= 1
+    ring = b"0 0 30 30 re 10 10 10 10 re "
+    odd, whole = pixels(ring + b"f*", (0, 0, 30, 30)), pixels(ring + b"f", (0, 0, 30, 30))
+    assert (odd[15, 15] == 255).all() and (whole[15, 15, :3] == 0).all() and (odd[5, 5, :3] == 0).all()
+    disc = pixels(b"0 g 20 10 m 20 15.5 15.5 20 10 20 c 4.5 20 0 15.5 0 10 c 0 4.5 4.5 0 10 0 c 15.5 0 20 4.5 20 10 c f", (0, 0, 20, 20))
+    assert abs((255 - disc[..., 0].astype(float)).sum() / 255 - np.pi * 100) < 3
+    assert pixels(b"", background=None).max() == 0 and pixels(b"0 g 0 0 1e30 1 re f 0 0 m nan 1 l 5 5 l f").shape == (30, 40, 4)
+
+
+def test_render_strokes_clips_and_turns():
+    line = pixels(b"0 0 1 RG 4 w 0 15 m 40 15 l S")
+    assert (line[13:17, 1:39, :3] == [0, 0, 255]).all() and (line[:12] == 255).all()
+    box = pixels(b"2 w 10 10 10 10 re S")
+    assert 76 < (255 - box[..., 0].astype(float)).sum() / 255 < 81
+    clipped = pixels(b"q 0 0 10 30 re W n 5 0 20 30 re W n 0 g 0 0 40 30 re f Q 1 0 0 rg 30 0 5 30 re f")
+    assert (clipped[:, 5:10, :3] == 0).all() and (clipped[:, :5] == 255).all() and (clipped[:, 10:30] == 255).all() and (clipped[:, 30:35, 0] == 255).all()
+    for turn, place in ((0, (29, 0)), (90, (0, 0)), (180, (0, 39)), (270, (39, 29))):
+        p = pixels(b"0 g 0 0 1 1 re f", Rotate=turn)
+        assert p.shape[:2] == ((30, 40) if turn % 180 == 0 else (40, 30)) and (p[place][:3] == 0).all() and (p[..., 0] == 0).sum() == 1
+
+
+def test_render_images_and_text():
+    import numpy as np
+
+    raw = np.array([[[255, 0, 0], [0, 255, 0]], [[0, 0, 255], [9, 9, 9]]], np.uint8)
+    p = pixels(b"q 20 0 0 10 10 5 cm /I Do Q", resources={"XObject": {"I": images.rgb_stream(raw)}})
+    assert (p[15, 10, :3] == [255, 0, 0]).all() and (p[15, 29, :3] == [0, 255, 0]).all() and (p[24, 10, :3] == [0, 0, 255]).all() and (p[24, 29, :3] == 9).all()
+    stencil = pixels(b"0 1 0 rg q 8 0 0 1 0 0 cm BI /W 8 /H 1 /IM true ID \x0f EI Q")
+    assert (stencil[29, :4, :3] == [0, 255, 0]).all() and (stencil[29, 4:8] == 255).all()
+    broken = pixels(b"q 20 0 0 10 10 5 cm /I Do Q", resources={"XObject": {"I": Stream({"Subtype": Name("Image"), "Width": 1, "Height": 1, "Filter": Name("JPXDecode")}, b"")}})
+    assert (broken[20, 15, :3] == 128).all()
+    shown = pixels(b"BT /F1 10 Tf 5 10 Td (A A) Tj ET")
+    assert (shown[16:19, 6:9, 0] == 0).all() and (shown[:, 11:14] == 255).all() and (pixels(b"BT 3 Tr /F1 10 Tf 5 10 Td (A A) Tj ET") == 255).all()
+
+
+def test_redaction_flattens_to_a_picture():
+    d = one_page(b"BT /F1 12 Tf 100 700 Td (SECRET) Tj ET BT /F1 12 Tf 100 600 Td (public) Tj ET")
+    forms.add_annotation(d, d.page_refs()[0], "square", [0, 0, 50, 50])
+    redact.mark(d, d.page_refs()[0], [90, 695, 200, 715])
+    again = Document(redact.apply_all(d, [b"SECRET", b"public"], flatten_dpi=36))
+    page = again.dictionary(again.page_refs()[0])
+    items = content.Interpreter(again).page(page)
+    assert [i.kind for i in items] == ["image"] and text.page_text(again, page) == "" and forms.annotation_refs(again, again.page_refs()[0]) == []
+    raster = images.decode(again, items[0].image)
+    assert (raster.width, raster.height) == (306, 396) and (raster.pixels[42, 60, :3] == 0).all() and raster.pixels[92:96, 50:70, 0].min() < 128
+
+
+def test_rendering_is_bounded():
+    d = one_page(b"")
+    d.update(d.page_refs()[0], MediaBox=[0, 0, 1e6, 1e6])
+    with pytest.raises(Fault):
+        render.render(d, d.dictionary(d.page_refs()[0]))
