@@ -11,6 +11,7 @@ import ctypes.util
 import hashlib
 import os
 from dataclasses import dataclass, field
+from functools import lru_cache
 from functools import cache, cached_property
 
 from sheaf.sources.syntax import Fault, Name, Ref, Stream
@@ -203,6 +204,7 @@ def user_entry(key: bytes, file_id: bytes, revision: int) -> bytes:
     return out + bytes(16)
 
 
+@lru_cache(4096)
 def owner_key(password: bytes, revision: int, length: int) -> bytes:
     key = hashlib.md5(pad(password)).digest()
     for _ in range(50 if revision >= 3 else 0):
@@ -210,6 +212,7 @@ def owner_key(password: bytes, revision: int, length: int) -> bytes:
     return key[:length]
 
 
+@lru_cache(4096)  # the same for all documents of the same passwords
 def owner_entry(owner: bytes, user: bytes, revision: int, length: int) -> bytes:
     key, out = owner_key(owner or user, revision, length), pad(user)
     for i in range(20 if revision >= 3 else 1):
@@ -217,6 +220,15 @@ def owner_entry(owner: bytes, user: bytes, revision: int, length: int) -> bytes:
     return out
 
 
+@lru_cache(4096)
+def user_of_owner(owner: bytes, entry: bytes, revision: int, length: int) -> bytes:
+    """The padded user's password that an owner's password gets out of /O."""
+    key, out = owner_key(owner, revision, length), entry[:32]
+    for i in range(19 if revision >= 3 else 0, -1, -1):
+        out = rc4(bytes(b ^ i for b in key), out)
+    return out
+
+
 def hash_r6(password: bytes, salt: bytes, user: bytes = b"") -> bytes:
     """At least 64 rounds, until the last byte is small enough for the round."""
     key, i, last = hashlib.sha256(password + salt + user).digest(), 0, 0
@@ -319,10 +331,7 @@ def unlock(document, password: str | bytes) -> Security:
         return key if user_entry(key, file_id, revision)[:n] == user[:n] else None
 
     if (key := matches(secret)) is None:
-        step, plain = owner_key(secret, revision, length), owner[:32]
-        for i in range(19 if revision >= 3 else 0, -1, -1):
-            plain = rc4(bytes(b ^ i for b in step), plain)
-        key = matches(plain)
+        key = matches(user_of_owner(secret, owner, revision, length))
     if key is None:
         raise Fault("needsPassword", "neither the user's nor the owner's password")
     return Security(key, method, entries, file_id, skip)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,14 @@ def session(name: str = "sheaf", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, where it isn't installed on them."""
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own: Spark serves its copy of the archive from there on
+        archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage into the folder of spark.checkpoint.dir; one of its own only on one machine where none is set."""
     context = df.sparkSession.sparkContext
