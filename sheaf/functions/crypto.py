@@ -11,8 +11,7 @@ import ctypes.util
 import hashlib
 import os
 from dataclasses import dataclass, field
-from functools import lru_cache
-from functools import cache, cached_property
+from functools import cache, cached_property, lru_cache
 
 from sheaf.sources.syntax import Fault, Name, Ref, Stream
 
