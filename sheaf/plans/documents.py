@@ -22,6 +22,16 @@ def _authored(t, **options):
     return D.author_documents(t("documents").select("doc_id", "text"), **options)
 
 
+def _authored_as(t, edit, **options):
+    """Texts laid out and edited in one pass: the document isn't written and read in between. What edit returns is the content."""
+    def run(value):
+        from sheaf.operators.author import document_of
+
+        yield (edit(document_of(value, **options)),)
+
+    return D.per_document(t("documents").select("doc_id", "text"), run, "content binary", value="text")
+
+
 def _edited_by_id(docs, n, edit, password=None):
     """Each row edited by edit(doc_id % n), so that what is expected differs from row to row."""
     parts = [D.edit_documents(docs.where(F.col("doc_id") % n == k), edit(k), password) for k in range(n)]
@@ -175,7 +185,7 @@ def _rewrite(t):
 def _encrypted(method):
     @query(f"fn68_encrypt_{method}", f"SELECT doc_id, {_WORDS} AS text FROM documents")
     def run(t):
-        sealed = D.edit_documents(_authored(t, compress=True), lambda document: document.save(crypto.protect(method, "open sesame", "the owner")))
+        sealed = _authored_as(t, lambda document: document.save(crypto.protect(method, "open sesame", "the owner")), compress=True)
         return _words_again(D.page_texts_of(sealed, password="the owner"))
 
 
@@ -203,7 +213,7 @@ def _redact(document):
 @query("mu13_redaction", f"SELECT doc_id, CAST(length({_SOLID}) - (length(text) - length(replace(text, 'tion', ''))) AS BIGINT) AS chars, false AS still_there FROM documents")
 def _redaction(t):
     """The marked words are gone, all other characters are left."""
-    done = checkpoint(D.edit_documents(_authored(t), _redact))  # read more than once
+    done = checkpoint(_authored_as(t, _redact))  # read more than once
     glyphs = D.glyphs_of(done).groupBy("doc_id").agg(F.sum(F.when(F.col("unicode") != " ", 1).otherwise(0)).alias("chars"))
     bytes_left = done.select("doc_id", (F.position(F.lit(b"tion"), F.col("content")) > 0).alias("still_there"))
     return bytes_left.join(glyphs, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "still_there")
