@@ -11,11 +11,9 @@ small for that is judged by the estimate of its language's rows, or of all rows.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from sheaf.llm.common import blank_words, checkpoint, join_groups, spread
 
@@ -107,33 +105,26 @@ def _vector() -> list[Column]:
     return [F.log1p(F.col("n_words").cast("double")), F.col("word_chars") / words, share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")]
 
 
-def _swept(flat: Column) -> Column:
-    """The inverse q (an array of 25) of a symmetric positive matrix and the logarithm of its determinant, by sweeping each pivot."""
-    def sweep(held: Column, k: Column) -> Column:
-        a = held["q"]
-        pivot = F.get(a, k * 6)
+def _swept(flat: str) -> str:
+    """SQL of the inverse q (an array of 25) of a symmetric positive matrix and the logarithm of its determinant, by sweeping each pivot.
 
-        def cell(x: Column, p: Column) -> Column:
-            i, j = F.floor(p / 5).cast("int"), p % 5
-            inner = x - F.get(a, i * 5 + k) * F.get(a, k * 5 + j) / pivot
-            return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), x / pivot).otherwise(inner)
-
-        return F.struct(F.transform(a, cell).alias("q"), (held["log_det"] + F.ln(pivot)).alias("log_det"))
-
-    whole = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.struct(flat.alias("q"), F.lit(0.0).alias("log_det")), sweep)
-    return F.struct(F.transform(whole["q"], lambda x: -x).alias("q"), whole["log_det"].alias("log_det"))
+    Expressions of this size are given as SQL: as Columns, each of their parts were a call from Python to the JVM.
+    """
+    pivot = "get(h.q, k * 6)"
+    cell = f"CASE WHEN p div 5 = k AND p % 5 = k THEN -1 / {pivot} WHEN p div 5 = k OR p % 5 = k THEN x / {pivot} ELSE x - get(h.q, CAST(p div 5 AS INT) * 5 + k) * get(h.q, k * 5 + p % 5) / {pivot} END"
+    step = f"named_struct('q', transform(h.q, (x, p) -> {cell}), 'log_det', h.log_det + ln({pivot}))"
+    return f"aggregate(sequence(0, 4), named_struct('q', {flat}, 'log_det', 0.0D), (h, k) -> {step}, h -> named_struct('q', transform(h.q, x -> -x), 'log_det', h.log_det))"
 
 
-def _estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, weight, m (means), q (inverse scatter) and log_det, of keys, weight, m0..m4 and s00..s44 (scatter, target included)."""
-    scatter = F.array(*(F.col(f"s{max(i, j)}{min(i, j)}") for i in range(5) for j in range(5)))
-    whole = moments.select(*keys, "weight", F.array(*(F.col(f"m{i}") for i in range(5))).alias("m"), _swept(scatter).alias("e"))
-    return whole.select(*keys, "weight", "m", "e.q", "e.log_det")
+def _estimate(moments: DataFrame) -> DataFrame:
+    """g, start, weight, m (means), q (inverse scatter) and log_det, of g, start, weight, m0..m4 and s00..s44 (scatter, target included)."""
+    scatter = ", ".join(f"s{max(i, j)}{min(i, j)}" for i in range(5) for j in range(5))
+    whole = moments.selectExpr("g", "start", "weight", "array(m0, m1, m2, m3, m4) AS m", f"{_swept(f'array({scatter})')} AS e")
+    return whole.selectExpr("g", "start", "weight", "m", "e.q", "e.log_det")
 
 
-def _distance() -> Column:
-    away = [F.col(x) - F.get("m", i) for i, x in enumerate(_NAMES)]
-    return reduce(lambda a, b: a + b, ((1.0 if i == j else 2.0) * F.get("q", 5 * i + j) * away[i] * away[j] for i, j in _PAIRS))
+#: The squared distance of x0..x4 from m under q.
+_DISTANCE = " + ".join(f"{1 if i == j else 2}.0D * get(q, {5 * i + j}) * (x{i} - get(m, {i})) * (x{j} - get(m, {j}))" for i, j in _PAIRS)
 
 
 def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
@@ -143,42 +134,38 @@ def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
     doubling at most, however many rows.
     """
     scored = join_groups(rows, now, "g", 3 * BROADCAST_GROUPS)
-    away = [(F.col(x) - F.get("m", i)).alias(f"y{i}") for i, x in enumerate(_NAMES)]
-    binned = scored.select("g", "start", "m", F.floor(BINS * F.log2(_distance() + 1)).alias("bin"), *away)
-    sums = [F.sum(f"y{i}").alias(f"t{i}") for i in range(5)] + [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"t{i}{j}") for i, j in _PAIRS]
-    per_bin = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), F.first("m").alias("m"), *sums)
-    of = Window.partitionBy("g", "start")
-    before = F.coalesce(F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = per_bin.select("*", before.alias("before"), F.sum("n").over(of).alias("weight")).where(F.col("before") < HALF * F.col("weight"))
+    binned = scored.selectExpr("g", "start", "m", f"floor({BINS} * log2({_DISTANCE} + 1)) AS bin", *(f"x{i} - get(m, {i}) AS y{i}" for i in range(5)))
+    sums = [f"sum(y{i}) AS t{i}" for i in range(5)] + [f"sum(y{i} * y{j}) AS t{i}{j}" for i, j in _PAIRS]
+    per_bin = binned.groupBy("g", "start", "bin").agg(*map(F.expr, ["count(*) AS n", "first(m) AS m", *sums]))
+    of = "OVER (PARTITION BY g, start"
+    near = per_bin.selectExpr("*", f"coalesce(sum(n) {of} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before", f"sum(n) {of}) AS weight").where(f"before < {HALF} * weight")
     names = [c for c in per_bin.columns if c[0] == "t"]
-    total = near.groupBy("g", "start").agg(F.first("weight").alias("weight"), F.first("m").alias("m"), F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
-    shift = [F.col(f"t{i}") / F.col("n") for i in range(5)]
-    scatter = [(CONSISTENCY * (F.col(f"t{i}{j}") / F.col("n") - shift[i] * shift[j]) + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
-    return _estimate(total.select("g", "start", "weight", *((F.get("m", i) + shift[i]).alias(f"m{i}") for i in range(5)), *scatter), ["g", "start"])
+    total = near.groupBy("g", "start").agg(*map(F.expr, ["first(weight) AS weight", "first(m) AS m", "sum(n) AS n", *(f"sum({c}) AS {c}" for c in names)]))
+    scatter = [f"{CONSISTENCY!r}D * (t{i}{j} / n - (t{i} / n) * (t{j} / n)) + {FLOOR[i] ** 2 if i == j else 0.0!r}D AS s{i}{j}" for i, j in _PAIRS]
+    return _estimate(total.selectExpr("g", "start", "weight", *(f"get(m, {i}) + t{i} / n AS m{i}" for i in range(5)), *scatter))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
     """The estimates of each (g, start): medians, and scatters of medians' deviations with three sorts of correlation."""
-    medians = checkpoint(rows.groupBy("g").agg(F.count("*").alias("weight"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_NAMES))))
-    away = join_groups(rows, medians, "g", BROADCAST_GROUPS).groupBy("g").agg(F.count("*").alias("weight"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(_NAMES)))
-    spreads = checkpoint(away.select("g", "weight", *(f"m{i}" for i in range(5)), *(F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2).alias(f"d{i}") for i in range(5))))
-    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(_NAMES)]
-    norm = F.sqrt(reduce(lambda a, b: a + b, (c * c for c in z)))
-    squashed, signs = [F.tanh(c) for c in z], [c / F.when(norm > 0, norm).otherwise(1.0) for c in z]
-    both = join_groups(rows, spreads, "g", BROADCAST_GROUPS).select("g", *(c.alias(f"u{i}") for i, c in enumerate(squashed)), *(c.alias(f"v{i}") for i, c in enumerate(signs)))
-    products = both.groupBy("g").agg(*(F.avg(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "uv" for i, j in _PAIRS), *(F.avg(f"u{i}").alias(f"u{i}") for i in range(5)))
-    u = lambda i, j: F.col(f"u{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")
-    v = lambda i, j: F.col(f"v{i}{j}")
-
-    def correlation(c, i, j) -> Column:
-        scale = F.sqrt(c(i, i) * c(j, j))
-        return F.lit(1.0) if i == j else F.when(scale > 1e-12, c(i, j) / scale).otherwise(0.0) * 0.99  # inside of -1 and 1: the scatter can be inverted
+    names = [f"m{i}" for i in range(5)]
+    medians = checkpoint(rows.groupBy("g").agg(*map(F.expr, ["count(*) AS weight", *(f"percentile_approx(x{i}, 0.5D, 1000) AS m{i}" for i in range(5))])))
+    away = join_groups(rows, medians, "g", BROADCAST_GROUPS).groupBy("g").agg(*map(F.expr, ["count(*) AS weight", *(f"first({m}) AS {m}" for m in names), *(f"percentile_approx(abs(x{i} - m{i}), 0.5D, 1000) AS a{i}" for i in range(5))]))
+    spreads = checkpoint(away.selectExpr("g", "weight", *names, *(f"sqrt(pow(1.4826D * a{i}, 2) + {FLOOR[i] ** 2!r}D) AS d{i}" for i in range(5))))
+    scaled = join_groups(rows, spreads, "g", BROADCAST_GROUPS).selectExpr("g", *(f"(x{i} - m{i}) / d{i} AS z{i}" for i in range(5)))
+    # u: squashed deviations; v: spatial signs.
+    both = scaled.selectExpr("*", f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(5))}) AS r").selectExpr("g", *(f"tanh(z{i}) AS u{i}" for i in range(5)), *(f"z{i} / CASE WHEN r > 0 THEN r ELSE 1.0D END AS v{i}" for i in range(5)))
+    products = both.groupBy("g").agg(*map(F.expr, [*(f"avg({k}{i} * {k}{j}) AS {k}{i}{j}" for k in "uv" for i, j in _PAIRS), *(f"avg(u{i}) AS u{i}" for i in range(5))]))
+    covariance = {"u": lambda i, j: f"(u{i}{j} - u{i} * u{j})", "v": lambda i, j: f"v{i}{j}"}
+
+    def correlation(k: str, i: int, j: int) -> str:
+        c = covariance[k]
+        scale = f"sqrt({c(i, i)} * {c(j, j)})"
+        return "1.0D" if i == j else f"CASE WHEN {scale} > 1e-12D THEN 0.99D * {c(i, j)} / {scale} ELSE 0.0D END"  # inside of -1 and 1: the scatter can be inverted
 
     found = spreads.join(products, "g") if spreads.limit(BROADCAST_GROUPS + 1).count() > BROADCAST_GROUPS else spreads.join(F.broadcast(products), "g")
-    kinds = [lambda i, j: F.lit(float(i == j)), lambda i, j: correlation(u, i, j), lambda i, j: correlation(v, i, j)]
-    scatters = F.array(*(F.struct(F.lit(k).alias("start"), *((kind(i, j) * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}{j}") for i, j in _PAIRS)) for k, kind in enumerate(kinds)))
-    each = found.select("g", "weight", *(f"m{i}" for i in range(5)), F.explode(scatters).alias("s")).select("g", "weight", *(f"m{i}" for i in range(5)), "s.*")
-    return _estimate(each, ["g", "start"])
+    kinds = [lambda i, j: f"{float(i == j)}D", lambda i, j: correlation("u", i, j), lambda i, j: correlation("v", i, j)]
+    scatters = ", ".join(f"named_struct('start', {n}, {', '.join(f"'s{i}{j}', {kind(i, j)} * d{i} * d{j}" for i, j in _PAIRS)})" for n, kind in enumerate(kinds))
+    return _estimate(found.selectExpr("g", "weight", *names, f"explode(array({scatters})) AS s").selectExpr("g", "weight", *names, "s.*"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -230,7 +217,7 @@ def _judges(rows: DataFrame) -> DataFrame:
 
 def _judged(rows: DataFrame, judges: DataFrame) -> DataFrame:
     """rows with d2 and kept."""
-    scored = join_groups(rows, judges, "g", BROADCAST_GROUPS, how="left").select(*(F.col(c) for c in rows.columns), _distance().alias("d2"))
+    scored = join_groups(rows, judges, "g", BROADCAST_GROUPS, how="left").select(*(F.col(c) for c in rows.columns), F.expr(_DISTANCE).alias("d2"))
     return scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False)))
 
 
