@@ -555,7 +555,7 @@ def test_quality_rejects_repetition_below_the_base_rule(spark):
 def test_inverse(spark):
     a = np.random.default_rng(1).normal(size=(5, 9))
     a = a @ a.T
-    found = spark.createDataFrame([(a.ravel().tolist(),)], "a array<double>").select(quality._swept(F.col("a")).alias("e")).first()["e"]
+    found = spark.createDataFrame([(a.ravel().tolist(),)], "a array<double>").selectExpr(f"{quality._swept('a')} AS e").first()["e"]
     assert np.allclose(np.array(found["q"]).reshape(5, 5) @ a, np.eye(5), atol=1e-6) and found["log_det"] == pytest.approx(np.linalg.slogdet(a)[1])
 
 
