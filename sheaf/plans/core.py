@@ -184,7 +184,7 @@ def _catalog(row):
 
 @row_query("fn10_filter_chain", "chain string", "'Fl:' || (10 + p_size % 6) || ',AHx:1' || CASE WHEN p_size % 2 = 0 THEN ',RL:1' ELSE '' END AS chain")
 def _filter_chain(row):
-    names = [Name("FlateDecode"), Name("AHx"), *[Name("RunLengthDecode")] * (1 - row["p_size"] % 2)]
+    names = [Name("Fl"), Name("AHx"), *[Name("RL")] * (1 - row["p_size"] % 2)]
     found = codecs.chain_of({"Filter": names, "DecodeParms": [{"Predictor": 10 + row["p_size"] % 6}, None]})
     return (",".join(f"{n}:{p.get('Predictor', 1)}" for n, p in found),)
 
