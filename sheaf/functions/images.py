@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from sheaf.functions import codecs, colour
+from sheaf.functions import codecs, colour, jpeg
 from sheaf.functions.numeric import unpack_bits
 from sheaf.sources.syntax import Fault, Name, Stream
 
@@ -14,6 +14,7 @@ from sheaf.sources.syntax import Fault, Name, Stream
 MAX_PIXELS = 1 << 26
 # Short keys of inline images.
 SHORT_KEYS = {"W": "Width", "H": "Height", "BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "IM": "ImageMask", "F": "Filter", "DP": "DecodeParms", "I": "Interpolate"}
+_BY_COMPONENTS = {1: Name("DeviceGray"), 3: Name("DeviceRGB"), 4: Name("DeviceCMYK")}
 
 
 @dataclass
@@ -37,27 +38,33 @@ def samples(data: bytes, width: int, height: int, components: int, bits: int) ->
 
 
 def decode(document, stream: Stream) -> Raster:
-    """8 bits a channel, cut off not rounded. Faults for codecs that no library here reads."""
+    """8 bits a channel, cut off not rounded. A DCT image has its own size. Faults for codecs that nothing here reads."""
     e = {SHORT_KEYS.get(k, k): v for k, v in stream.entries.items()}
     width, height = (int(document.number(e.get(k)) or 0) for k in ("Width", "Height"))
     if width < 1 or height < 1 or width * height > MAX_PIXELS:
         raise Fault("image", "no size")
     data, codec = codecs.decode(stream.raw, document.chain(e))
-    if codec:
+    shown = None
+    if codec == "DCTDecode":
+        shown = jpeg.decode(data, MAX_PIXELS)
+        height, width = shown.shape[:2]
+    elif codec:
         raise Fault("unsupportedFeature", codec)
     mapping = [document.number(v) or 0.0 for v in document.array(e.get("Decode"))]
     out = np.full((height, width, 4), 255, np.uint8)
-    if document.resolve(e.get("ImageMask")) is True:
+    if document.resolve(e.get("ImageMask")) is True and shown is None:
         bit = samples(data, width, height, 1, 1)[..., 0]
         out[..., :3] = 0
         out[..., 3] = np.where(bit == (1 if mapping[:1] == [1.0] else 0), 255, 0)
         return Raster(width, height, out)
-    space = colour.space_of(document, e.get("ColorSpace"))
-    bits = int(document.number(e.get("BitsPerComponent")) or 8)
+    space = colour.space_of(document, e.get("ColorSpace") if shown is None or "ColorSpace" in e else _BY_COMPONENTS[shown.shape[2]])
+    bits = int(document.number(e.get("BitsPerComponent")) or 8) if shown is None else 8
     if bits not in (1, 2, 4, 8, 16):
         raise Fault("image", f"{bits} bits a component")
     n = max(space.n, 1)
-    raw = samples(data, width, height, n, bits)
+    if shown is not None and shown.shape[2] != n:
+        raise Fault("image", f"{shown.shape[2]} components for a space of {n}")
+    raw = samples(data, width, height, n, bits) if shown is None else shown.astype(np.float64)
     top = 2.0**bits - 1
     if len(mapping) < 2 * n:
         mapping = [0.0, top] if space.family == "Indexed" else [0.0, 1.0] * n if space.family != "Lab" else [0.0, 100.0, -100.0, 100.0, -100.0, 100.0]

@@ -54,3 +54,49 @@ def test_png_row_tags():
 def test_image_codec_is_passed_on():
     assert C.decode(C.hex_encode(b"jpeg"), [("AHx", {}), ("DCT", {})]) == (b"jpeg", "DCTDecode")
     assert C.chain_of({"F": [Name("AHx"), Name("Fl")], "DP": [None, {"Predictor": 2}]}) == [("AHx", {}), ("Fl", {"Predictor": 2})]
+
+
+def test_dct_round_trips():
+    import numpy as np
+
+    from sheaf.functions import jpeg
+    from sheaf.sources.syntax import Fault
+
+    rng = np.random.default_rng(1)
+    for n in (1, 3):
+        for height, width, interval in ((8, 8, 0), (17, 9, 1), (64, 50, 3), (1, 1, 0)):
+            smooth = np.linspace(0, 255, height * width).reshape(height, width, 1) + rng.normal(0, 20, (height, width, n))
+            pixels = smooth.clip(0, 255).astype(np.uint8)
+            again = jpeg.decode(jpeg.encode(pixels, 1, interval), 1 << 20)
+            assert again.shape == pixels.shape and np.abs(again.astype(int) - pixels).max() <= 2
+    whole = jpeg.encode(rng.integers(0, 255, (40, 40, 3)).astype(np.uint8), 8)
+    for data in [whole[:k] for k in range(0, len(whole), 97)] + [bytes(b ^ (rng.random() < 0.01) * 255 for b in whole) for _ in range(60)]:
+        try:
+            assert jpeg.decode(data, 1 << 20).dtype == np.uint8
+        except Fault as fault:
+            assert fault.code in ("image", "unsupportedFeature")
+    with pytest.raises(Fault):
+        jpeg.decode(whole, 100)
+
+
+@pytest.mark.parametrize("kind", [1, 10])
+def test_dct_against_another_library(spark, kind):
+    """Images that Java writes (subsampled colours, its own codes) come out as Java reads them; kind: RGB or gray."""
+    import numpy as np
+
+    from sheaf.functions import jpeg
+
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(45, 31, kind)
+    for y in range(31):
+        for x in range(45):
+            image.setRGB(x, y, (x * 5) << 16 | (y * 8) << 8 | (x + y) * 3)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray())).getRaster()
+    found = jpeg.decode(data, 1 << 20)
+    want = np.array([[[raster.getSample(x, y, k) for k in range(found.shape[2])] for x in range(0, 45, 4)] for y in range(0, 31, 3)])
+    far = np.abs(found[::3, ::4].astype(int) - want)
+    # Colours of fewer samples are repeated here, and smoothed there.
+    assert found.shape == (31, 45, 3 if kind == 1 else 1) and np.median(far) <= (3 if kind == 1 else 1) and far.max() <= (24 if kind == 1 else 1)
