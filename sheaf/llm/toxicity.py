@@ -247,6 +247,23 @@ class Windows:
         return np.where(real, self.flat[np.minimum(at, len(self.flat) - 1)], 0), real.astype(np.float32)
 
 
+def _numbered(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes], list[int]]:
+    """The words of each text as numbers, the words by number (sorted), and in how many texts each is.
+
+    A text's words are numbers before the next one's are found, so that a word is held once however often it stands.
+    """
+    number: dict[bytes, int] = {}
+    ids, seen = [], Counter()
+    for text in texts:
+        own = words(text)
+        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+        seen.update(np.unique(ids[-1]).tolist())
+    distinct = sorted(number)
+    place = np.empty(len(number), np.int32)
+    place[[number[w] for w in distinct]] = np.arange(len(number), dtype=np.int32)
+    return [place[own] for own in ids], distinct, [seen[number[w]] for w in distinct]
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int | None = None, rate: float = 0.02, seed: int = 11) -> Network:
     """Fits a network to labels of whole texts, from some windows of each text in each epoch.
 
@@ -256,21 +273,16 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int |
     windows) also has a window without words as one of label 0.
     """
     batch = batch or min(128, max(16, len(texts) // 16))
-    found = [words(t) for t in texts]
     draw, y = np.random.default_rng(seed), np.array(labels, np.float32)
-    seen: Counter = Counter(w for f in found for w in set(f))
-    vocabulary = {w: i + 1 for i, (w, n) in enumerate(sorted((w, n) for w, n in seen.items() if n >= LEAST_TEXTS))}
+    ids, distinct, seen = _numbered(texts)
+    vocabulary = {w: i + 1 for i, w in enumerate(w for w, n in zip(distinct, seen, strict=True) if n >= LEAST_TEXTS)}
     net = Network.fresh(vocabulary)
     if not len(y) or y.min() == y.max():
         net.w["o"][:] = 0
         net.w["c"][:] = -3 if not len(y) or y.max() == 0 else 3
         return net
-    distinct = sorted(seen)
-    number = {w: i for i, w in enumerate(distinct)}
     places, starts = char_grams(distinct)
     bounds = np.append(starts, len(places))
-    ids = [np.array([number[w] for w in f], np.int32) for f in found]
-    del found, number
     word_id = np.array([vocabulary.get(w, 0) for w in distinct], np.int64)
     odds = _log_odds(ids, y, places, bounds, len(distinct))
     inside = np.flatnonzero(word_id)
@@ -348,7 +360,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int =
     few = F.broadcast(drawn[0].unionByName(drawn[1]).distinct())
     drawn = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text").join(few, "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(drawn.collect(), key=lambda r: (r["h"], r["doc_id"], r["toxic"]))
-    return train([r["text"].encode() for r in rows], [r["toxic"] for r in rows])
+    texts, toxicities = [r["text"].encode() for r in rows], [r["toxic"] for r in rows]
+    del rows
+    return train(texts, toxicities)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
