@@ -541,6 +541,19 @@ def test_quality_keeps_good_rows_without_ids(spark, monkeypatch):
         assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_counts_each_text_once_where_many_are_rejected(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {}
+    for limit in (quality.BROADCAST_TEXTS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_TEXTS", limit)
+        kept = quality.keep_good(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sort_array") == (0 if limit else quality._rows(docs)._jdf.queryExecution().optimizedPlan().toString().count("sort_array"))
+        found[limit] = sorted(map(repr, kept.collect()))
+    few, many = found.values()
+    assert few == many and 0 < len(few) < docs.count()
+
+
 def test_quality_rejects_repetition_below_the_base_rule(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
