@@ -177,3 +177,20 @@ def test_runs_and_garbage():
     with pytest.raises(Fault):
         d.save_sanitized([b"Catalog"])
     assert Token(b"x") != b"x"
+
+
+def test_bytes_that_an_encoding_holds_by_chance_are_no_residue():
+    from sheaf.functions import crypto
+    from sheaf.operators.author import document_of
+
+    d = document_of("some words of a text " * 20, compress=True)
+    packed = next(v.raw for v in d.edits.values() if isinstance(v, Stream))
+    chance = packed[20:26]  # in the encoded bytes only
+    saved = d.save_sanitized([chance])
+    again = Document(saved)
+    assert chance not in saved and again.content(again.dictionary(again.page_refs()[0])) == d.content(d.dictionary(d.page_refs()[0]))
+    sealed = Document(d.save_sanitized([chance], crypto.protect("aes128", "u", "o")), "u")
+    assert sealed.content(sealed.dictionary(sealed.page_refs()[0])) == d.content(d.dictionary(d.page_refs()[0]))
+    for left in (b"words", b"Catalog", b"00000"):
+        with pytest.raises(Fault):
+            d.save_sanitized([left])
