@@ -22,9 +22,13 @@ def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return best.select(*keys, *(F.col(f"best.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
-def newest_value(df: DataFrame, keys: list[str], value: str, order: str, last: bool = False) -> DataFrame:
-    """Of each key the value of the least order, or of the greatest."""
-    return df.groupBy(*keys).agg((F.max_by if last else F.min_by)(value, order).alias(value))
+def newest_value(df: DataFrame, keys: list[str], value: str, order: str, last: bool = False, ties: list[str] = ()) -> DataFrame:
+    """Of each key the value of the least order, or of the greatest; of equal orders that of the first or last ties.
+
+    Rows without a value or an order don't count, and a key of none but these has a null.
+    """
+    known = F.col(value).isNotNull() & F.col(order).isNotNull()
+    return df.groupBy(*keys).agg((F.max_by if last else F.min_by)(value, F.when(known, F.struct(order, *ties))).alias(value))
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -210,3 +210,16 @@ def test_row_queries_against_duckdb(spark):
         found = QUERIES[name](spark, SF)
         want = con.execute(ORACLES[name]).to_arrow_table().select(found.columns).to_pylist()
         assert sorted(map(repr, (tuple(r.values()) for r in want))) == sorted(map(repr, map(tuple, found.collect()))), name
+
+
+def test_equal_numbers_take_the_first_row(spark, tmp_path):
+    """As the SQL does on one thread; rows without a value don't count."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    path = str(tmp_path / "lineitem.parquet")
+    con.execute(f"COPY (SELECT i % 50 AS l_partkey, CASE WHEN i % 3 > 0 AND i % 50 <> 7 THEN 9000 - i END AS l_suppkey, i % 4 AS l_orderkey, CAST(CASE WHEN i % 11 > 0 THEN i % 2 END AS INTEGER) AS l_linenumber FROM range(9000) t(i)) TO '{path}'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    found = entry.queries()["src09_section_merge"](spark, str(tmp_path))
+    assert rows(found) == sorted(con.execute(entry.oracle_sql()["src09_section_merge"]).fetchall(), key=repr)
