@@ -223,3 +223,24 @@ def test_equal_numbers_take_the_first_row(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
     found = entry.queries()["src09_section_merge"](spark, str(tmp_path))
     assert rows(found) == sorted(con.execute(entry.oracle_sql()["src09_section_merge"]).fetchall(), key=repr)
+
+
+def test_streams_drain_into_files(spark, tmp_path):
+    """Nothing of a result is held by the driver: its plan reads files, in which a later batch adds to or replaces the earlier."""
+    from sheaf.streaming import streams
+
+    events = spark.createDataFrame([(i % 7, float(i)) for i in range(100)], "user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("value") * 5000))
+    for k in range(3):
+        events.where(F.col("value") % 3 == k).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    whole = streams.drained(stream.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    assert "FileScan parquet" in whole._jdf.queryExecution().executedPlan().toString()
+    assert rows(whole) == rows(events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    assert rows(streams.drained(stream, "append")) == rows(events)
+    found = streams.drained(streams.sessions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in/*"))))
+    assert found.count() == 100 and rows(found.groupBy("user_id").agg(F.sum("n"))) == rows(events.groupBy("user_id").agg(F.count("*")))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+    (tmp_path / "none").mkdir()
+    empty = streams.drained(spark.readStream.schema(events.schema).parquet(str(tmp_path / "none")), "append")
+    assert empty.columns == events.columns and empty.count() == 0
