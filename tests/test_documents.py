@@ -358,3 +358,16 @@ def test_plain_pages_are_read_run_by_run(monkeypatch):
     monkeypatch.setattr(text, "page_blocks", None)
     d = Document(author.document_of("some words, (and) \\more \xe4 " * 300).save())
     assert [text.page_text(d, d.dictionary(r)) for r in d.page_refs()] == author.expected_text("some words, (and) \\more \xe4 " * 300)
+
+
+@pytest.mark.parametrize("method", ["rc4_128"])
+def test_sealing_and_reading_take_no_plain_cipher(monkeypatch, method):
+    """The library's ciphers give the same bytes; a document is sealed and read without the plain ones and without glyphs."""
+    if crypto._native() is None or not hasattr(crypto._native(), "RC4_set_key"):
+        pytest.skip("no library")
+    for n in (0, 1, 15, 16, 300, 5000):
+        assert crypto.rc4(b"a key" * (n % 3 + 1), bytes(n)) == crypto.plain_rc4(b"a key" * (n % 3 + 1), bytes(n))
+    monkeypatch.setattr(crypto, "plain_rc4", None)
+    monkeypatch.setattr(text, "page_blocks", None)
+    d = Document(author.document_of("some words " * 900, compress=True).save(crypto.protect(method, "u", "o")), "o")
+    assert [text.page_text(d, d.dictionary(r)) for r in d.page_refs()] == author.expected_text("some words " * 900)
