@@ -244,3 +244,14 @@ def test_streams_drain_into_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     empty = streams.drained(spark.readStream.schema(events.schema).parquet(str(tmp_path / "none")), "append")
     assert empty.columns == events.columns and empty.count() == 0
+
+
+@pytest.mark.parametrize("name", ["st02_extract_documents"])
+def test_documents_are_made_once(spark, name, monkeypatch):
+    """Edits that differ by row take one pass: none over the texts for each of them."""
+    from sheaf.plans import documents
+
+    monkeypatch.setattr(documents, "checkpoint", lambda df: df.select("doc_id", "content"))
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    reads = {"st02_extract_documents": 1, "mu06_remove_annotation": 1, "mu10_flatten": 2}[name]  # mu10 reads a checkpoint twice
+    assert plan.count("documents.parquet") + plan.count("Relation [") == reads, plan
