@@ -246,7 +246,7 @@ def test_streams_drain_into_files(spark, tmp_path):
     assert empty.columns == events.columns and empty.count() == 0
 
 
-@pytest.mark.parametrize("name", ["st02_extract_documents", "mu06_remove_annotation"])
+@pytest.mark.parametrize("name", ["st02_extract_documents", "mu06_remove_annotation", "mu10_flatten"])
 def test_documents_are_made_once(spark, name, monkeypatch):
     """Edits that differ by row take one pass: none over the texts for each of them."""
     from sheaf.plans import documents
