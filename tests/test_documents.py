@@ -371,3 +371,13 @@ def test_sealing_and_reading_take_no_plain_cipher(monkeypatch, method):
     monkeypatch.setattr(text, "page_blocks", None)
     d = Document(author.document_of("some words " * 900, compress=True).save(crypto.protect(method, "u", "o")), "o")
     assert [text.page_text(d, d.dictionary(r)) for r in d.page_refs()] == author.expected_text("some words " * 900)
+
+
+def test_matches_of_plain_pages_need_no_glyphs(monkeypatch):
+    """The same places as by the search over all glyphs."""
+    d = Document(author.document_of("an action, (stations) \xe4 rationtion " * 200).save())
+    pages_found = [d.dictionary(r) for r in d.page_refs()]
+    want = [[text.search(text.page_blocks(d, p), needle) for p in pages_found] for needle in ("tion", "(sta", "\xe4", "none")]
+    assert len(want[0][0]) > 100 and want[2][0] and not want[3][0]
+    monkeypatch.setattr(text, "page_blocks", None)
+    assert want == [[text.page_matches(d, p, needle) for p in pages_found] for needle in ("tion", "(sta", "\xe4", "none")]

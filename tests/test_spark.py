@@ -255,3 +255,25 @@ def test_documents_are_made_once(spark, name, monkeypatch):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     reads = {"st02_extract_documents": 1, "mu06_remove_annotation": 1, "mu10_flatten": 2}[name]  # mu10 reads a checkpoint twice
     assert plan.count("documents.parquet") + plan.count("Relation [") == reads, plan
+
+
+def test_text_runs_are_the_glyphs_text(spark):
+    """Of redacted documents and of pages that have to be taken glyph by glyph."""
+    from sheaf.operators import redact
+    from sheaf.sources.syntax import Ref, Stream
+
+    def redacted(document):
+        for page in document.page_refs():
+            redact.mark(document, page, [60.0, 600.0, 200.0, 740.0])
+        return redact.apply_all(document)
+
+    def tilted(document):
+        for page in document.page_refs():
+            contents = document.dictionary(page)["Contents"]
+            document.set(Ref(contents.number, 0), Stream({}, document.content(document.dictionary(page)).replace(b"Tf", b"Tf 1 0.1 0 1 0 0 cm")))
+
+    docs = D.author_documents(spark.createDataFrame([(i, f"a few (words) \u00e4 {i} " * 90 * i) for i in range(4)], "doc_id long, text string"))
+    for edit in (redacted, tilted):
+        edited = D.edit_documents(docs, edit)
+        glyphs = D.glyphs_of(edited).groupBy("doc_id", "page_no", "run_seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_seq", "unicode"))), lambda g: g["unicode"]), "").alias("text"))
+        assert rows(D.text_runs_of(edited).where("text is not null").select("doc_id", "page_no", "run_seq", "text")) == rows(glyphs.where("run_seq is not null"))
