@@ -360,7 +360,7 @@ def test_plain_pages_are_read_run_by_run(monkeypatch):
     assert [text.page_text(d, d.dictionary(r)) for r in d.page_refs()] == author.expected_text("some words, (and) \\more \xe4 " * 300)
 
 
-@pytest.mark.parametrize("method", ["rc4_128", "aes128"])
+@pytest.mark.parametrize("method", ["rc4_128", "aes128", "aes256"])
 def test_sealing_and_reading_take_no_plain_cipher(monkeypatch, method):
     """The library's ciphers give the same bytes; a document is sealed and read without the plain ones and without glyphs."""
     if crypto._native() is None or not hasattr(crypto._native(), "RC4_set_key"):
